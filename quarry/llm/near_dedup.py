@@ -33,7 +33,7 @@ BASE = 1.02
 RATE = 20.0
 LEVELS = 1 << 11
 #: Standard errors by which an estimate may miss the threshold before its pair is left out unverified.
-SLACK = 5.0
+SLACK = 4.0
 #: Members of a bucket that meet in one block; larger buckets are compared block against block.
 BLOCK = 1024
 
@@ -245,15 +245,22 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     sets = materialize(class_sets(docs, ids(offered), width), "sets")
     links = materialize(verify(first, sets, percent), "links")
     parts = materialize(connected_components(links), "parts")
-    # Then whatever may still join two of them: other hubs, and members of one bucket.
     named = lambda frame, key, as_: frame.join(parts.select(F.col("id").alias(key), F.col("component").alias(as_)), key, "left").withColumn(as_, F.coalesce(as_, key))
-    rest = named(named(offered, "a", "ca"), "b", "cb").filter("ca != cb").select("a", "b").join(first, ["a", "b"], "left_anti")
+    apart = lambda tried: named(named(offered, "a", "ca"), "b", "cb").filter("ca != cb").join(tried, ["a", "b"], "left_anti")
+    # Then, for every two components that other hubs offer to join, the pair with the most votes.
+    best = apart(first).groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("votes", "a", "b")).alias("m"))
+    second = materialize(best.select("m.a", "m.b"), "second")
+    links = materialize(links.unionByName(verify(second, sets, percent)), "links")
+    parts = materialize(connected_components(links), "parts")
+    # Last, whatever may still join two of them: other hubs, and members of one bucket.
+    tried = first.unionByName(second)
+    rest = apart(tried).select("a", "b")
     members = materialize(named(bands.join(buckets.select("bucket", "size"), "bucket"), "id", "component"), "members")
     mixed = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sign"), F.count(F.lit(1)).alias("n"))
     # Buckets with the same members are compared once; a bucket of two was compared through its hub.
     mixed = materialize(mixed.filter("lo != hi and n > 2").groupBy("sign", "n").agg(F.min("bucket").alias("bucket")).select("bucket"), "mixed")
     inside = members.join(bounded(mixed), "bucket", "left_semi").join(classes.select("id", "n_shingles", "registers"), "id")
-    across = materialize(crossing_pairs(inside, percent).select("a", "b").unionByName(rest).distinct(), "across")
+    across = materialize(crossing_pairs(inside, percent).select("a", "b").unionByName(rest).distinct().join(tried, ["a", "b"], "left_anti"), "across")
     missing = materialize(ids(across).join(sets.select("id"), "id", "left_anti"), "missing")
     if missing.limit(1).count():
         sets = sets.unionByName(materialize(class_sets(docs, missing, width), "sets"))

@@ -8,20 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import exact_dedup, mixing, near_dedup, quality, sentencepiece_bpe
+from . import chat, exact_dedup, fingerprint, lm_scoring, mixing, near_dedup, pii, quality, sentencepiece_bpe, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -34,12 +46,27 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op10_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.sql("SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    return chat.read_back(chat.prefix_targets(rows.unionByName(tricky)))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_source_mixing": op2_source_mixing,
+    "op3_personal_data": op3_personal_data,
     "op4_quality_rules": op4_quality_rules,
+    "op5_recurrent_lm": op5_recurrent_lm,
     "op6_near_dedup": op6_near_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_url_filter": op9_url_filter,
+    "op10_chat_examples": op10_chat_examples,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -56,6 +83,28 @@ ORACLE_SQL: dict[str, str] = {
         FROM d
         WINDOW w AS (PARTITION BY bare ORDER BY length(text) DESC, doc_id)
     """,
+    "op10_chat_examples": r"""
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+        ), sized AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rn,
+                   22 + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;'))
+                      + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;')) + 1 AS n
+            FROM rows
+        ), placed AS (
+            SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY rn) AS stop, max(rn) OVER (PARTITION BY conv_id) AS turns FROM sized
+        )
+        SELECT conv_id,
+               count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY rn)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY rn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(stop) FILTER (role = 'assistant' OR rn = turns) AS BIGINT) AS formatted_chars,
+               count(*) FILTER (role = 'assistant' OR rn = turns) AS n_examples
+        FROM placed
+        GROUP BY conv_id
+    """,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

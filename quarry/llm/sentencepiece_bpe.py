@@ -27,7 +27,9 @@ CHUNK_CHARS = 32_768
 SPACE = "▁"
 #: A run of spaces and what follows it up to the next one. No piece spans the start of such a unit.
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-_CACHE = 400_000
+#: Distinct units a worker remembers, and texts it splits into units at a time.
+_CACHE = 200_000
+GROUP = 32
 #: A state: the piece at a place, or None before the first, and the position where it ends.
 State = tuple[int | None, int]
 
@@ -264,7 +266,7 @@ def encode(docs: DataFrame, carry: list[str] | None = None, model_file: str = DE
         bpe = _model(proto.value)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            found = [x.tobytes() for x in bpe.encode_many([bpe.normal(t) for t in texts])]
+            found = [x.tobytes() for at in range(0, len(texts), GROUP) for x in bpe.encode_many([bpe.normal(t) for t in texts[at : at + GROUP]])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.binary()), pa.array([int(bool(t)) for t in texts], pa.int32())], names=[*batch.schema.names[:-1], "ids", "n_chunks"])
 
     short = rows.filter(F.length(name) <= chunk_chars).mapInArrow(plain, schema)
