@@ -90,23 +90,24 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
     With sizes na and nb, u and v the shares of the union that only a or only b has, a register of a is larger,
     smaller or equal with probabilities p(u), p(v) and the rest, where p(x) = -log_BASE(1 - x (BASE - 1) / BASE). The
-    likelihood has one parameter, the Jaccard similarity, and is searched on a grid.
+    likelihood has one parameter, the Jaccard similarity, and one maximum, which a ternary search finds.
     """
     more, less = (a > b).sum(axis=1), (a < b).sum(axis=1)
     same = a.shape[1] - more - less
     ratio = np.minimum(na, nb) / np.maximum(np.maximum(na, nb), 1)
-    grid = np.linspace(0, 1, 101)
-    best, at = np.full(len(a), -np.inf), np.zeros(len(a))
     share = na / np.maximum(na + nb, 1)
-    for g in grid:
-        j = g * ratio
-        u = np.clip(share * (1 + j) - j, 0, 1)
-        v = np.clip((1 - share) * (1 + j) - j, 0, 1)
+
+    def value(j: np.ndarray) -> np.ndarray:
+        u, v = np.clip(share * (1 + j) - j, 0, 1), np.clip((1 - share) * (1 + j) - j, 0, 1)
         pu, pv = (-np.log1p(-x * (BASE - 1) / BASE) / np.log(BASE) for x in (u, v))
-        ll = more * np.log(pu + 1e-12) + less * np.log(pv + 1e-12) + same * np.log(np.maximum(1 - pu - pv, 1e-12))
-        better = ll > best
-        best[better], at[better] = ll[better], j[better]
-    return at
+        return more * np.log(pu + 1e-12) + less * np.log(pv + 1e-12) + same * np.log(np.maximum(1 - pu - pv, 1e-12))
+
+    low, high = np.zeros(len(a)), ratio.astype(np.float64)
+    for _ in range(16):
+        third = (high - low) / 3
+        up = value(low + third) < value(high - third)
+        low, high = np.where(up, low + third, low), np.where(up, high, high - third)
+    return (low + high) / 2
 
 
 def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
@@ -139,10 +140,10 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
-    """A row for each class and band: id and the key of its bucket."""
+    """A row for each class and band: id, band and the key of its bucket."""
     width = 2 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", i * width + 1, width)) for i in range(BANDS)])
-    return classes.select("id", F.explode(keys).alias("bucket"))
+    return classes.select("id", F.posexplode(keys).alias("band", "bucket"))
 
 
 def _stack(column: pd.Series) -> np.ndarray:
@@ -174,50 +175,104 @@ def class_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(build, "id long, items binary")
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if len(x) == 0 or len(y) == 0:
+        return False
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    common = int((y[at] == x).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, other, ia, ib = (c.to_pylist() for c in batch.columns)
-            good = []
-            for x, y in zip(ia, ib, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                common = int((y[at] == x).sum())
-                good.append(100 * common >= percent * (len(x) + len(y) - common))
+            good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(ia, ib, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([v for v, g in zip(ids, good, strict=True) if g], pa.int64()), pa.array([v for v, g in zip(other, good, strict=True) if g], pa.int64())], names=["a", "b"])
 
     side = lambda x: sets.select(F.col("id").alias(x), F.col("items").alias(f"i{x}"))
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ia", "ib").mapInArrow(check, "a long, b long")
 
 
-def crossing_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs between different components within each bucket, block against block.
+def mixed_buckets(members: DataFrame) -> DataFrame:
+    """bucket, size, main: buckets whose members (bucket, band, id, component) are of several components; main has the most.
+
+    Of buckets with the same members the one of the first band is kept; a bucket of two was compared through its hub.
+    """
+    by_part = members.groupBy("bucket", "component").agg(F.max("band").alias("band"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sign"))
+    whole = by_part.groupBy("bucket").agg(F.max("band").alias("band"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("size"), F.sum("sign").alias("sign"), F.max(F.struct("n", "component")).alias("m"))
+    whole = whole.filter("parts > 1 and size > 2")
+    return whole.groupBy("sign", "size").agg(F.min(F.struct("band", "bucket", "m.component")).alias("m")).select("m.bucket", "size", F.col("m.component").alias("main"))
+
+
+MEMBER = "bucket long, band int, block int, guest boolean, id long, component long, n_shingles long"
+
+
+def seated(members: DataFrame) -> DataFrame:
+    """Members of mixed buckets dealt into blocks of about BLOCK: each is in one block of its bucket, and those outside
+    the main component are guests in all of the bucket's blocks."""
+    rows = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    here = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("guest", F.lit(False))
+    guests = rows.filter("component != main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("guest", F.lit(True))
+    columns = ["bucket", "band", "block", "guest", "id", "component", "n_shingles", "registers"]
+    return here.select(columns).unionByName(guests.select(columns))
 
-    ``members``: bucket, size, id, n_shingles, registers, component. Every two members of a bucket meet in exactly one
-    group (bucket, i, j) of at most two blocks.
+
+def candidates(f: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions in a block of guests and members of other components that may link, and their equal registers.
+
+    A pair that meets in several buckets counts in that of the first band on which its registers agree.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-
-    def cross(f: pd.DataFrame) -> pd.DataFrame:
-        ids, label, sizes, own_block = (f[c].to_numpy() for c in ("id", "component", "n_shingles", "own"))
-        i, j = int(f["i"].iloc[0]), int(f["j"].iloc[0])
-        regs, out = _stack(f["registers"]), []
-        for k in range(len(f)):
-            if own_block[k] != i:
-                continue
-            mates = np.flatnonzero((label != label[k]) & ((own_block == j) if i != j else (np.arange(len(f)) > k)))
-            if len(mates):
-                mine = np.broadcast_to(regs[k], (len(mates), REGISTERS))
-                mates = mates[likely(mine, regs[mates], np.full(len(mates), sizes[k]), sizes[mates], percent)]
-                out += [(max(ids[k], m), min(ids[k], m)) for m in ids[mates]]
+    guest, label, sizes = (f[c].to_numpy() for c in ("guest", "component", "n_shingles"))
+    regs, band = _stack(f["registers"]), int(f["band"].iloc[0])
+    t = percent / 100
+    need = REGISTERS * (t - SLACK * np.sqrt(t * (1 - t) / REGISTERS))
+    left, right, found = np.flatnonzero(guest), np.flatnonzero(~guest), []
+    for at in range(0, len(left), 16):
+        part = left[at : at + 16]
+        equal = regs[part][:, None, :] == regs[right][None, :, :]
+        i, j = np.nonzero((equal.sum(axis=2) >= need) & (label[part][:, None] != label[right][None, :]))
+        agree = equal[i, j]
+        first = agree.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        found.append((part[i[first]], right[j[first]], agree[first].sum(axis=1)))
+    x, y, same = (np.concatenate([p[k] for p in found]) if found else np.zeros(0, np.int64) for k in range(3))
+    if len(x):
+        good = np.concatenate([likely(regs[x[k : k + 8192]], regs[y[k : k + 8192]], sizes[x[k : k + 8192]], sizes[y[k : k + 8192]], percent) for k in range(0, len(x), 8192)])
+        x, y, same = x[good], y[good], same[good]
+    return x, y, same
+
+
+def crossing_links(members: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between different components of a bucket, and the sets it has needed.
+
+    ``members``: bucket, band, size, main, id, n_shingles, registers, component. First the registers tell which members
+    have a likely pair at all; only their sets are fetched, and pairs are verified where they meet, the likeliest
+    first, until the guest and the component are linked. So no pair is written that is no link.
+    """
+
+    def involved(f: pd.DataFrame) -> pd.DataFrame:
+        x, y, _ = candidates(f, percent)
+        return f.iloc[np.unique(np.concatenate([x, y]))]
+
+    def linked(f: pd.DataFrame) -> pd.DataFrame:
+        x, y, same = candidates(f, percent)
+        items, ids, label = [np.frombuffer(v, np.uint64) for v in f["items"]], f["id"].to_numpy(), f["component"].to_numpy()
+        done, out = set(), []
+        for k in np.lexsort((ids[y], -same, x)):
+            if (x[k], label[y[k]]) not in done and similar(items[x[k]], items[y[k]], percent):
+                done.add((x[k], label[y[k]]))
+                out.append((max(ids[x[k]], ids[y[k]]), min(ids[x[k]], ids[y[k]])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return spread.groupBy("bucket", "i", "j").applyInPandas(cross, "a long, b long").distinct().withColumn("votes", F.lit(1).cast("long"))
+    near = materialize(seated(members).groupBy("bucket", "block").applyInPandas(involved, f"{MEMBER}, registers binary"), "involved")
+    missing = materialize(near.select("id").distinct().join(sets.select("id"), "id", "left_anti"), "missing")
+    if missing.limit(1).count():
+        sets = sets.unionByName(materialize(class_sets(docs, missing, width), "sets"))
+    rows = near.join(sets.dropDuplicates(["id"]), "id").select(*near.columns, "items")
+    return rows.groupBy("bucket", "block").applyInPandas(linked, "a long, b long").distinct(), sets
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -253,19 +308,16 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     links = materialize(links.unionByName(verify(second, sets, percent)), "links")
     parts = materialize(connected_components(links), "parts")
     # Last, whatever may still join two of them: other hubs, and members of one bucket.
-    tried = first.unionByName(second)
-    rest = apart(tried).select("a", "b")
-    members = materialize(named(bands.join(buckets.select("bucket", "size"), "bucket"), "id", "component"), "members")
-    mixed = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sign"), F.count(F.lit(1)).alias("n"))
-    # Buckets with the same members are compared once; a bucket of two was compared through its hub.
-    mixed = materialize(mixed.filter("lo != hi and n > 2").groupBy("sign", "n").agg(F.min("bucket").alias("bucket")).select("bucket"), "mixed")
-    inside = members.join(bounded(mixed), "bucket", "left_semi").join(classes.select("id", "n_shingles", "registers"), "id")
-    across = materialize(crossing_pairs(inside, percent).select("a", "b").unionByName(rest).distinct().join(tried, ["a", "b"], "left_anti"), "across")
-    missing = materialize(ids(across).join(sets.select("id"), "id", "left_anti"), "missing")
-    if missing.limit(1).count():
-        sets = sets.unionByName(materialize(class_sets(docs, missing, width), "sets"))
-    links = materialize(links.unionByName(verify(across, sets, percent)).distinct(), "links")
+    rest = materialize(apart(first.unionByName(second)).select("a", "b"), "rest")
+    links = materialize(links.unionByName(verify(rest, sets, percent)), "links")
+    parts = materialize(connected_components(links), "parts")
+    members = materialize(named(bands.join(buckets.select("bucket"), "bucket"), "id", "component"), "members")
+    mixed = materialize(mixed_buckets(members), "mixed")
+    inside = members.join(mixed, "bucket").join(classes.select("id", "n_shingles", "registers"), "id")
+    crossing, sets = crossing_links(inside, docs, sets, width, percent)
+    links = materialize(links.unionByName(crossing), "links")
     parts = materialize(connected_components(links), "parts")
+    links = links.distinct()
     degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     of_class = classes.select("digest", "id").join(parts, "id", "left").join(degree, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     of_class = materialize(of_class, "verdicts")
