@@ -79,11 +79,13 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("block").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     after = lambda c: F.lead(c).over(order).alias(f"next_{c}")
     rows = rows.select("block", "doc_id", "text", "near", "print", F.row_number().over(order).alias("place"), F.lead(F.lit(1)).over(order).alias("inner"), after("text"), after("near"), after("print"))
-    heads = rows.filter("place = 1").select(F.col("block").alias("head_block"), F.col("text").alias("head_text"), F.col("near").alias("head_near"), F.col("print").alias("head_print"))
+    heads = rows.filter("place = 1").select(F.col("block").alias("lower"), F.col("text").alias("head_text"), F.col("near").alias("head_near"), F.col("print").alias("head_print"))
     lower = lower_blocks(docs.select(F.coalesce(F.floor(F.col("doc_id") / BLOCK_IDS), F.lit(-(1 << 58))).alias("block")).distinct())
-    tails = rows.filter("inner is null").drop("next_text", "next_near", "next_print", "place", "inner").join(lower, "block")
-    tails = tails.join(heads, F.col("lower") == F.col("head_block")).select("doc_id", "text", "near", "print", F.col("head_text").alias("next_text"), F.col("head_near").alias("next_near"), F.col("head_print").alias("next_print"))
-    return rows.filter("inner is not null").select("doc_id", "text", "near", "print", "next_text", "next_near", "next_print").unionByName(tails)
+    # One head for each block; the documents are where their block is already, so only the heads move.
+    heads = lower.join(heads, "lower").select(F.col("block").alias("of"), "head_text", "head_near", "head_print")
+    joined = rows.join(heads, (F.col("block") == F.col("of")) & F.col("inner").isNull(), "left")
+    following = lambda c: F.when(F.col("inner").isNull(), F.col(f"head_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}")
+    return joined.select("doc_id", "text", "near", "print", following("text"), following("near"), following("print"))
 
 
 def lower_blocks(blocks: DataFrame) -> DataFrame:
