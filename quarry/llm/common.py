@@ -18,6 +18,9 @@ WORD_PATTERN = f"[^{SPACE_CLASS}]+"
 #: A side is broadcast explicitly only below this measured size; beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
+#: Bytes of one Arrow batch that goes to a Python worker; a row larger than that goes by itself.
+BATCH_BYTES = 4 << 20
+
 _own_dir: str | None = None
 
 
@@ -50,6 +53,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session's Python operators by bytes, so that long texts don't add up in a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

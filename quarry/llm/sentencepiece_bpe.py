@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty, unused_name
+from .common import materialize, small_batches, text_or_empty, unused_name
 
 #: Code points of a chunk; longer documents are encoded in chunks.
 CHUNK_CHARS = 32_768
@@ -257,6 +257,7 @@ def encode(docs: DataFrame, carry: list[str] | None = None, model_file: str = DE
     """
     carry = carry or ["doc_id", "text"]
     spark = docs.sparkSession
+    small_batches(spark)
     proto = spark.sparkContext.broadcast(open(model_file, "rb").read())
     name = unused_name("encoded_text", docs.columns)
     rows = docs.select(*carry, text_or_empty().alias(name))
@@ -328,6 +329,7 @@ def decode(encoded: DataFrame, model_file: str = DEFAULT_MODEL) -> DataFrame:
     The text is the encoded one exactly, but that U+2581 becomes a space, as the format has it.
     """
     spark = encoded.sparkSession
+    small_batches(spark)
     proto = spark.sparkContext.broadcast(open(model_file, "rb").read())
     at = encoded.columns.index("ids")
 
