@@ -23,6 +23,9 @@ MAX_PASSES = 3
 ROUNDS = 12
 #: Slots that are made from one row.
 CHUNK = 16_384
+#: Such rows that one task gets; a set number of partitions, as adaptive execution would put these small rows into one.
+CHUNKS_A_TASK = 4
+MAX_TASKS = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -102,7 +105,9 @@ def slots(plan: DataFrame, block_words: int, shard_slots: int = SHARD_SLOTS) ->
     last = F.col("pass") == F.col("passes")
     places = F.when(last, F.least("blocks", F.ceil((F.col("rest") + F.col("short")) / block_words).cast("long") + 1)).otherwise(F.col("blocks"))
     passes = passes.withColumn("places", places).filter(~last | (F.col("rest") > 0))
-    parts = passes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("places") - 1) / CHUNK)))).repartition("sid", "pass", "part")
+    parts = passes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("places") - 1) / CHUNK))))
+    chunks = plan.agg(F.sum(F.ceil(F.col("blocks") / CHUNK) * (F.col("passes") + 1))).first()[0] or 1
+    parts = parts.repartition(int(min(MAX_TASKS, -(-chunks // CHUNKS_A_TASK))), "sid", "pass", "part")
     place = F.explode(F.sequence(F.col("part") * CHUNK, F.least("places", (F.col("part") + 1) * CHUNK) - 1))
     rows = parts.withColumn("place", place).withColumn("block", permuted(F.col("place"), F.col("blocks"), F.xxhash64("sid", "pass")))
     before = F.col("place") * block_words - F.when(F.col("short_place") < F.col("place"), F.col("short")).otherwise(F.lit(0))
