@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def status(old: DataFrame, new: DataFrame, keys: list[str], compared: list[str]) -> DataFrame:
@@ -54,3 +58,18 @@ def manifest_changes(before: DataFrame, now: DataFrame, key: str) -> DataFrame:
         .otherwise("parse")
     )
     return a.join(now.select(key, "stat", "digest"), key, "full_outer").select(key, action.alias("action"))
+
+
+@F.pandas_udf(StringType())
+def unified_diff(old: pd.Series, new: pd.Series) -> pd.Series:
+    """The unified diff of two texts with three lines of context; empty where they are equal; null counts as empty."""
+
+    def lines(a: str | None, b: str | None) -> str:
+        return "\n".join(difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), "old", "new", n=3, lineterm=""))
+
+    return pd.Series([lines(a, b) for a, b in zip(old, new, strict=True)])
+
+
+def text_status(old: Column, new: Column) -> Column:
+    """same, changed, added, removed, or missing where neither side has a text."""
+    return F.when(old.isNull() & new.isNull(), "missing").when(old.isNull(), "added").when(new.isNull(), "removed").when(old == new, "same").otherwise("changed")

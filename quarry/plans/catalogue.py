@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import source_code
 from quarry.functions import text as T
 from quarry.operators import diff, graph, metrics, search
 
@@ -484,3 +485,40 @@ def glossary_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     matched = [target for target, words in GLOSSARY if all(any(q[: max(4, len(w) - 1)] == w[: max(4, len(w) - 1)] for q in query) for w in words)]
     rows = read(spark, sf_dir, "part").withColumn("tier", F.when(F.col("p_name").isin(matched), 0).when(F.col("p_name").contains("gadget"), 1))
     return rows.filter("tier is not null").orderBy("tier", "p_name", "p_partkey").limit(100).select("p_partkey", "p_name", "tier")
+
+
+# -- module texts -----------------------------------------------------------------------------------------------------
+
+
+def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A module for each part: a function that calls the part's namesake, and a procedure that calls the function."""
+    part = read(spark, sf_dir, "part")
+    text = F.concat(F.lit("#Region Public\nFunction F"), "p_partkey", F.lit("(A) Export\n"), F.repeat(F.lit("  // Nothing(A)\n"), F.col("p_size")), F.lit('  Return Store.Find("G(1)", A);\nEndFunction\n#EndRegion\n\nProcedure Main()\n  F'), "p_partkey", F.lit("(1);\nEndProcedure\n"))
+    return part.select("p_partkey", text.alias("text"))
+
+
+@entry("""
+    SELECT p_partkey, 'F' || p_partkey AS name, 'function' AS kind, true AS is_export, 2 AS start_line, p_size + 4 AS end_line, 'Public' AS region FROM part
+    UNION ALL SELECT p_partkey, 'Main', 'procedure', false, p_size + 7, p_size + 9, '' FROM part""")
+def module_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = source_code.procedures_of(_modules(spark, sf_dir), "p_partkey", "text")
+    return rows.select("p_partkey", "name", "kind", "is_export", "start_line", "end_line", "region")
+
+
+@entry("""
+    SELECT p_partkey, 'F' || p_partkey AS caller, p_size + 3 AS line, 'Store' AS owner, 'Find' AS callee FROM part
+    UNION ALL SELECT p_partkey, 'Main', p_size + 8, '', 'F' || p_partkey FROM part""")
+def module_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_code.calls_of(_modules(spark, sf_dir), "p_partkey", "text")
+
+
+@entry("""
+    WITH p AS (SELECT o.p_partkey, o.p_name AS a, CASE WHEN o.p_partkey % 5 > 0 THEN n.p_name END AS b FROM part o LEFT JOIN part n ON n.p_partkey = o.p_partkey + 1)
+    SELECT p_partkey, CASE WHEN b IS NULL THEN 'removed' WHEN a = b THEN 'same' ELSE 'changed' END AS status,
+        CASE WHEN a = b THEN '' WHEN b IS NULL THEN '--- old' || chr(10) || '+++ new' || chr(10) || '@@ -1 +0,0 @@' || chr(10) || '-' || a
+        ELSE '--- old' || chr(10) || '+++ new' || chr(10) || '@@ -1 +1 @@' || chr(10) || '-' || a || chr(10) || '+' || b END AS diff FROM p""")
+def text_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_name")
+    rows = part.join(part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next")), "p_partkey", "left")
+    new = F.when(F.col("p_partkey") % 5 > 0, F.col("next"))
+    return rows.select("p_partkey", diff.text_status(F.col("p_name"), new).alias("status"), diff.unified_diff("p_name", new).alias("diff"))
