@@ -37,7 +37,7 @@ def html_text(html: Column) -> Column:
 
 def type_parts(types: Column) -> Column:
     """The members of a composite type, split at commas outside parentheses."""
-    return F.transform(F.regexp_extract_all(types, F.lit(r"([^,(]+(?:\([^)]*\))?)"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(types, F.lit(r"([^,(]+(?:\([^)]*\))?)"), F.lit(1)), lambda x: F.trim(x))
 
 
 def version_parts(version: Column) -> Column:
