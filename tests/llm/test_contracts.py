@@ -5,13 +5,14 @@ from collections import defaultdict
 from pathlib import Path
 from zlib import crc32
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from quarry.llm import chat, exact_dedup, fingerprint, lm_scoring, mixing, near_dedup, pii, quality, sentencepiece_bpe, urls  # noqa: E402
+from quarry.llm import chat, exact_dedup, fingerprint, lm_scoring, mixing, near_dedup, pii, quality, recurrent, sentencepiece_bpe, urls  # noqa: E402
 from quarry.llm.queries import QUERIES  # noqa: E402
 
 TEXTS = [
@@ -160,6 +161,22 @@ def test_language_model(spark, sf_dir, texts, awkward):
     assert empty_count(lm_scoring.score_documents, awkward) == 0
 
 
+def test_language_model_learns_from_every_training_document(spark):
+    """One shard's weights are those of all its documents, down to the last words of a few short ones."""
+    for n in (3, 60):
+        rows = [(i, f"word{i} follows word{i + 1} and then ends") for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        counts = lm_scoring.count_words(docs).orderBy(F.desc("n"), "word").collect()
+        head = np.array([r.word for r in counts])
+        start = recurrent.initial(np.array([r.n for r in counts]), 0.0)
+        ranks = {w: i for i, w in enumerate(head.tolist())}
+        ids = [np.array([ranks[lm_scoring.word_hash(t)] for t in lm_scoring.tokens_of(text.encode())]) for _, text in rows]
+        found, wanted = lm_scoring.train_model(docs, head, start, n), recurrent.train(start, ids)
+        assert all(np.allclose(found[k], wanted[k], atol=1e-5) for k in start)
+        last = recurrent.train(start, [*ids[:-1], np.append(ids[-1][:-1], ids[0][0])])
+        assert any((wanted[k] != start[k]).any() for k in start) and any((wanted[k] != last[k]).any() for k in start)
+
+
 def test_near_duplicates(spark, sf_dir, texts, awkward):
     for found, expected in ((QUERIES["op6_near_dedup"](spark, sf_dir), texts[0]), (near_dedup.near_groups(awkward, 3, 85), {i: t or "" for i, t in enumerate(TEXTS)})):
         groups = brute.near_components(expected, 3, 85)
