@@ -168,7 +168,7 @@ def test_language_model_learns_from_every_training_document(spark):
         docs = spark.createDataFrame(rows, "doc_id long, text string")
         counts = lm_scoring.count_words(docs).orderBy(F.desc("n"), "word").collect()
         head = np.array([r.word for r in counts])
-        start = recurrent.initial(np.array([r.n for r in counts]), 0.0)
+        start = recurrent.initial(np.array([r.n for r in counts]) + 1.0, np.ones(recurrent.SIDE**2))
         ranks = {w: i for i, w in enumerate(head.tolist())}
         ids = [np.array([ranks[lm_scoring.word_hash(t)] for t in lm_scoring.tokens_of(text.encode())]) for _, text in rows]
         found, wanted = lm_scoring.train_model(docs, head, start, n), recurrent.train(start, ids)
@@ -177,6 +177,25 @@ def test_language_model_learns_from_every_training_document(spark):
         assert any((wanted[k] != start[k]).any() for k in start) and any((wanted[k] != last[k]).any() for k in start)
 
 
+def test_language_model_reads_and_predicts_rare_words(spark):
+    """Of two rare words, equally frequent, the model learns what follows which; its units grow with the vocabulary."""
+    assert recurrent.side_of(100) == recurrent.SIDE and recurrent.side_of(10**8) > 2 * recurrent.side_of(10**6)
+    train, held = ([i for i in range(4000) if (crc32(str(i).encode()) % 7 == 2) == h] for h in (False, True))
+    common = " ".join(f"c{i} c{i}" for i in range(1200))
+    rows = [(i, f"rare{k % 2} follows{k % 2} " * 40) for k, i in enumerate(train[:200])] + [(i, " ".join([common] * 21)) for i in train[200:300]]
+    rows += [(held[0], "rare0 rare0 rare0 rare0"), (held[1], "rare1 rare1 rare1 rare1"), (held[2], "rare0 follows0"), (held[3], "rare0 follows1")]
+    out = by_id(lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert out[held[2]].base_score == pytest.approx(out[held[3]].base_score) and out[held[2]].score > out[held[3]].score + 0.1
+    assert out[held[0]].base_score == pytest.approx(out[held[1]].base_score) and out[held[0]].score != pytest.approx(out[held[1]].score, abs=1e-9)
+
+
+def test_language_model_sums_to_one():
+    rng = np.random.default_rng(1)
+    p = recurrent.train(recurrent.initial(rng.integers(1, 9, 700) + 0.0, np.ones(recurrent.SIDE**2)), [rng.integers(0, 700, 500)])
+    units = np.arange(2 * recurrent.SIDE**2)
+    assert np.exp(recurrent.log_probs(p, np.tile(rng.normal(0, 1, recurrent.HIDDEN).astype("f4"), (len(units), 1)), units)).sum() == pytest.approx(1, abs=1e-4)
+
+
 def test_near_duplicates(spark, sf_dir, texts, awkward):
     for found, expected in ((QUERIES["op6_near_dedup"](spark, sf_dir), texts[0]), (near_dedup.near_groups(awkward, 3, 85), {i: t or "" for i, t in enumerate(TEXTS)})):
         groups = brute.near_components(expected, 3, 85)
