@@ -57,7 +57,7 @@ def features(url: Column, host: Column, path: Column) -> list[Column]:
     count = lambda text, pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
     size = lambda c: F.length(c).cast("double")
     return [
-        size(url), size(host), size(path), count(host, r"\."), count(path, "/"), count(url, "[0-9]") / F.greatest(size(url), F.lit(1.0)), entropy(F.substring(url, 1, 512)),
+        size(url), size(host), size(path), count(host, r"\."), count(path, "/"), count(url, "[0-9]") / F.greatest(size(url), F.lit(1.0)), entropy(url),
         count(url, "[?&][^=&#]*="), F.when(url.contains("#"), 1.0).otherwise(0.0), count(url, "[-_]"), F.when(url.startswith("https"), 1.0).otherwise(0.0), size(suffix),
         *(F.when(suffix == x, 1.0).otherwise(0.0) for x in SUFFIXES),
     ]

@@ -275,6 +275,14 @@ def test_urls(spark):
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_entropy_is_of_the_whole_url(spark):
+    cases = ["http://h.net/" + "a" * 600 + "0123456789bcdef" * 40, "é𝒳?" * 300, "", "aaaa"]
+    found = spark.createDataFrame([(i, u) for i, u in enumerate(cases)], "i long, url string").select("i", urls.features(F.col("url"), F.lit(""), F.lit(""))[urls.FEATURES.index("entropy")].alias("e")).collect()
+    for r in found:
+        u = cases[r.i]
+        assert r.e == pytest.approx(-sum(u.count(c) / len(u) * np.log2(u.count(c) / len(u)) for c in set(u)))
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 1, "assistant", "<|end|>&lt;[x]"), (1, 0, "user", None), (1, 2, "user", "<|turn|>"), (2, 0, "system", ""), (None, 5, None, "&amp;"), (3, 0, "assistant", "a"), (3, 0, "assistant", "a")]
     made = chat.prefix_targets(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
