@@ -92,3 +92,9 @@ def unused_name(name: str, taken: list[str]) -> str:
     while name.lower() in lower:
         name = f"_{name}"
     return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, and that column's name; written, so that rows keep their numbers."""
+    name = unused_name("row", docs.columns)
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name

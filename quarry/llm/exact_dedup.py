@@ -15,19 +15,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import MAX_BITS, flag_repeated, repeated_map
-from .common import SPACE_BYTES, materialize, text_or_empty, without_ids
+from .common import SPACE_BYTES, materialize, numbered, text_or_empty, without_ids
 
 
-def text_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars (code points of the original text), digest (SHA-256 of the text without white space)."""
+def text_digests(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, n_chars (code points of the original text), digest (SHA-256 of the text without white space), and the
+    row number if a column ``row`` of ``docs`` has it."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
             found = [hashlib.sha256(t.translate(None, SPACE_BYTES)).digest() for t in texts.cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pc.utf8_length(texts).cast(pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "n_chars", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.utf8_length(texts).cast(pa.int64()), pa.array(found, pa.binary()), *batch.columns[2:]], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(digest, "doc_id long, n_chars long, digest binary")
+    names = ["doc_id", "n_chars", "digest", *(["row"] if row else [])]
+    columns = [F.col("doc_id").cast("long"), text_or_empty().alias("text"), *([F.col(row).alias("row")] if row else [])]
+    return docs.select(columns).mapInArrow(digest, "doc_id long, n_chars long, digest binary" + (", row long" if row else ""))
 
 
 def exact_groups(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -52,6 +55,15 @@ def exact_groups(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts; all columns stay."""
-    dropped = materialize(exact_groups(docs).filter("not kept").select("doc_id"), "copies")
-    return without_ids(docs, dropped)
+    """``docs`` with one row of each group of equal texts; all columns stay.
+
+    The row is the one that ``exact_groups`` keeps; of several with its doc_id and length (or with null doc_ids) the
+    first written one.
+    """
+    rows, row = numbered(docs)
+    keys = materialize(text_digests(rows, row), "digests")
+    repeated = flag_repeated(docs.sparkSession, keys, "digest", repeated_map(keys, "digest", keys.count(), MAX_BITS)).filter("maybe_repeated")
+    best = F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "row")
+    kept = repeated.groupBy("digest").agg(F.min_by("row", best).alias("row")).select("row")
+    dropped = materialize(repeated.select("row").join(kept, "row", "left_anti").withColumnRenamed("row", row), "copies")
+    return without_ids(rows, dropped, row).select(*docs.columns)

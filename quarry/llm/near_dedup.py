@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize, text_or_empty, without_ids
+from .common import bounded, materialize, numbered, text_or_empty, without_ids
 from .components import connected_components
 
 REGISTERS = 80
@@ -326,5 +326,16 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component; all columns stay."""
-    return without_ids(docs, materialize(near_groups(docs, width, percent).filter("not kept").select("doc_id"), "near-copies"))
+    """``docs`` with one row of each component; all columns stay.
+
+    Components are of rows, whatever their ids. The row with the smallest doc_id stays (null last); of several with
+    one doc_id the first written one.
+    """
+    rows, row = numbered(docs)
+    ids = rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    parts = near_groups(rows.select(F.col(row).alias("doc_id"), "text"), width, percent)
+    parts = materialize(parts.select(F.col("doc_id").alias("row"), F.col("component_id").alias("part")).join(ids, "row"), "parts")
+    best = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "row")
+    kept = parts.groupBy("part").agg(F.min_by("row", best).alias("row")).select("row")
+    dropped = materialize(parts.select("row").join(kept, "row", "left_anti").withColumnRenamed("row", row), "near-copies")
+    return without_ids(rows, dropped, row).select(*docs.columns)

@@ -263,6 +263,20 @@ def test_exact_groups_of_awkward_rows(awkward):
     assert full == rows
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, "same  text"), (1, "same  text"), (None, "no id"), (None, "no id"), (None, "noid"), (2, "same text"), (2, "only here"), (None, long), (7, long + " tail"), (7, long + " tail"), (5, long + " end"), (5, "another one"), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("q")).repartition(3)
+    held = lambda f: sorted(((r.doc_id, r.text or "") for r in f.collect()), key=repr)
+    exact = exact_dedup.drop_copies(docs)
+    assert exact.columns == docs.columns
+    assert held(exact) == sorted([(1, "same  text"), (None, "no id"), (2, "only here"), (None, long), (7, long + " tail"), (5, long + " end"), (5, "another one"), (None, "")], key=repr)
+    near = near_dedup.drop_near_copies(docs)
+    assert near.columns == docs.columns
+    wide = [r for r in held(near) if len(r[1].split()) > 5]
+    assert wide == [(5, long + " end")] and (5, "another one") in held(near) and (2, "only here") in held(near)
+
+
 def test_urls(spark):
     cases = [
         ("http://a.example.net/en/x", "example.net/en/", "allow"), ("https://NET/y", "net/", "block"), ("http://x.example.com/de/1?q", "example.com/de/", "block"),
