@@ -80,9 +80,17 @@ def parse_turns(formatted: Column) -> Column:
 
 
 def read_back(targets: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars (of all examples), n_examples."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars (of all examples), n_examples.
+
+    All are read from the examples as ``explode_examples`` writes them: the turns from the last one, which is the whole
+    conversation, the trainable text from each one's own span.
+    """
+    loss = unescape(F.substring("formatted", (F.col("loss_first") + 1).cast("int"), (F.col("loss_last") - F.col("loss_first")).cast("int")))
+    parts = explode_examples(targets).select("conv_id", "example", "formatted", loss.alias("loss"))
+    rows = parts.groupBy("conv_id").agg(
+        F.max_by("formatted", "example").alias("whole"), F.array_sort(F.collect_list(F.struct("example", "loss"))).alias("losses"),
+        F.sum(F.length("formatted")).cast("long").alias("formatted_chars"), F.count(F.lit(1)).alias("n_examples"),
+    )
+    rows = rows.withColumn("turns", parse_turns(F.col("whole"))).withColumn("loss", F.array_join("losses.loss", ""))
     turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    loss = F.transform("examples", lambda e: unescape(F.substring(F.col("formatted"), (e["first"] + 1).cast("int"), (e["last"] - e["first"]).cast("int"))))
-    rows = targets.withColumn("turns", parse_turns(F.col("formatted"))).withColumn("loss", F.array_join(loss, ""))
-    total = F.aggregate("examples", F.lit(0).cast("long"), lambda acc, e: acc + e["stop"])
-    return rows.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), total.alias("formatted_chars"), F.size("examples").cast("long").alias("n_examples"))
+    return rows.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_examples")

@@ -308,6 +308,16 @@ def test_chat_round_trip(spark):
     assert chat.prefix_targets(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_figures_are_read_from_written_examples(spark):
+    """A rendering that lacks its end shows in the examples' lengths, which their offsets don't tell."""
+    rows = [(1, i, "assistant" if i % 2 else "user", f"text {i}") for i in range(40)]
+    made = chat.prefix_targets(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    sizes = [len(r.formatted) for r in chat.explode_examples(made).collect()]
+    whole, cut = (chat.read_back(m).first() for m in (made, made.withColumn("formatted", F.expr("substring(formatted, 1, length(formatted) - 1)"))))
+    assert (whole.n_examples, whole.formatted_chars, whole.loss_sha256) == (20, sum(sizes), brute.sha("".join(f"text {i}" for i in range(1, 40, 2))))
+    assert cut.formatted_chars == whole.formatted_chars - 1
+
+
 def test_pipeline_applies_each_decision(spark, sf_dir):
     import corpus_pipeline
 
