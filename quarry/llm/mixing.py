@@ -129,12 +129,12 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def pieces(docs_at: DataFrame, slot_rows: DataFrame, block_words: int) -> DataFrame:
-    """row, pass, first, last: the words (from first to before last, counted in the document) that a slot takes."""
+    """shard, row, pass, first, last: the words (from first to before last, counted in the document) that a slot takes."""
     end = F.col("start") + F.col("size")
     parts = docs_at.filter("size > 0").select("row", "sid", "start", end.alias("end"), F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words))).alias("block"))
     at = F.col("block") * block_words
-    joined = parts.join(slot_rows.select("sid", "block", "pass", "words"), ["sid", "block"])
-    joined = joined.select("row", "pass", (F.greatest("start", at) - F.col("start")).alias("first"), (F.least("end", at + F.col("words")) - F.col("start")).alias("last"))
+    joined = parts.join(slot_rows.select("shard", "sid", "block", "pass", "words"), ["sid", "block"])
+    joined = joined.select("shard", "row", "pass", (F.greatest("start", at) - F.col("start")).alias("first"), (F.least("end", at + F.col("words")) - F.col("start")).alias("last"))
     return joined.filter("first < last")
 
 
@@ -161,6 +161,12 @@ def mix_report(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
+def mix_shards(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The mixture by output shard: shard, doc_id, source, pass, first, last (words of the document, before last)."""
+    sizes, _, _, parts = mix(docs, block_words)
+    return parts.join(sizes.select("row", "doc_id", "source"), "row").select("shard", "doc_id", "source", "pass", "first", "last")
+
+
 def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The mixture as documents: a row for each document and pass that takes words of it, with the columns of ``docs``.
 

@@ -112,6 +112,24 @@ def test_mixed_documents_hold_the_words_taken(awkward):
     assert {i: n for i, n in taken.items() if n} == dict(held)
 
 
+def test_shards_of_the_mixture_are_multinomial(spark):
+    """Every slot is in one output shard, by counts that fit the multinomial; the shards together are the mixture."""
+    plan = mixing.source_plan(spark.createDataFrame([(1, "a", 90_000, 1.0, 150_000.0), (2, "b", 60_000, 2.0, 100_000.0)], "sid long, source string, source_size long, weight double, target double"), 8)
+    counts = mixing.shard_counts(mixing.slots(plan, 8, shard_slots=1500)).collect()
+    total, shards = defaultdict(int), {r.shard for r in counts}
+    for r in counts:
+        total[r.sid] += r.slots
+    assert len(shards) == 21 and len(counts) == 42 and sum(r.words for r in counts) == 250_000
+    chi = sum((r.slots - total[r.sid] / 21) ** 2 / (total[r.sid] / 21) for r in counts)
+    assert 15 < chi < 80  # 40 degrees of freedom
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(500)), f"s{i % 2}") for i in range(1200)], "doc_id long, text string, source string")
+    found, taken = mixing.mix_shards(docs).collect(), {r.doc_id: r.taken for r in mixing.mix_report(docs).collect()}
+    held = defaultdict(int)
+    for r in found:
+        held[r.doc_id] += r["last"] - r["first"]
+    assert len({r.shard for r in found}) == 3 and held == {i: n for i, n in taken.items() if n}
+
+
 def test_permutation_is_exact(spark):
     for n in (1, 2, 7, 64, 1000):
         image = mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5).cast("long"))
