@@ -1,9 +1,10 @@
 """Bloom filters of bounded size, built in parallel and merged segment by segment.
 
-A filter is a pair of bit maps: slots hit at least once and slots hit at least twice. Each task keeps its own pair
-and emits the segments that are not empty; segments are merged as a stream, so the memory of a merging task is its
-share of the filter, whatever the number of rows. Two of the three facts a caller needs follow from the maps: a key
-all of whose slots were hit twice is *possibly repeated*, any other key is certainly unique.
+A filter is a pair of bit maps: slots hit at least once and slots hit at least twice. Each task keeps its own pair,
+a bit a slot, and emits the segments that are not empty; segments are merged as a stream, so the memory of a merging
+task is its share of the filter, whatever the number of rows. A key all of whose slots were hit twice is *possibly
+repeated*, any other key is certainly unique. More keys than one map serves are dealt by their digests over parts,
+each with a map of its own (``parts_of``).
 """
 
 from __future__ import annotations
@@ -16,8 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits for each key, and the largest filter (64 MB a map): beyond it more rows than needed count as possibly repeated,
-#: which costs shuffling and never correctness.
+#: Bits for each key, and the largest map (64 MB); keys that need more are dealt over several.
 BITS_PER_KEY = 16
 MAX_BITS = 1 << 29
 SEGMENTS = 16
@@ -30,6 +30,11 @@ def filter_bits(n_keys: int, max_bits: int = MAX_BITS) -> int:
     return bits
 
 
+def parts_of(n_keys: int, max_bits: int = MAX_BITS) -> int:
+    """The number of maps of ``max_bits`` bits that ``n_keys`` keys need."""
+    return max(1, -(-BITS_PER_KEY * n_keys // max_bits))
+
+
 def slots_of(keys: list[bytes], bits: int) -> np.ndarray:
     """Two slots of each digest (16 bytes at least)."""
     if not keys:
@@ -44,16 +49,21 @@ def repeated_map(keys: DataFrame, column: str, n_keys: int, max_bits: int = MAX_
     width = bits // SEGMENTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
             # The two slots of a key may coincide: it then hits that slot once.
             pair = slots_of(batch.column(0).to_pylist(), bits)
             hit = np.concatenate([pair[:, 0], pair[pair[:, 0] != pair[:, 1], 1]])
             slot, times = np.unique(hit, return_counts=True)
-            twice[slot[(times > 1) | once[slot]]] = True
-            once[slot] = True
-        rows = [(s, once[s * width : (s + 1) * width], twice[s * width : (s + 1) * width]) for s in range(SEGMENTS)]
-        rows = [(s, zlib.compress(np.packbits(a).tobytes(), 1), zlib.compress(np.packbits(b).tobytes(), 1)) for s, a, b in rows if a.any()]
+            if not len(slot):
+                continue
+            # The slots of one byte are neighbours: their bits are joined, then set together.
+            byte, first = np.unique(slot >> 3, return_index=True)
+            bit = (128 >> (slot & 7)).astype(np.uint8)
+            twice[byte] |= (once[byte] & np.bitwise_or.reduceat(bit, first)) | np.bitwise_or.reduceat(np.where(times > 1, bit, 0).astype(np.uint8), first)
+            once[byte] |= np.bitwise_or.reduceat(bit, first)
+        rows = [(s, once[s * width // 8 : (s + 1) * width // 8], twice[s * width // 8 : (s + 1) * width // 8]) for s in range(SEGMENTS)]
+        rows = [(s, zlib.compress(a.tobytes(), 1), zlib.compress(b.tobytes(), 1)) for s, a, b in rows if a.any()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["segment", "once", "twice"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

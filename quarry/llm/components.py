@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 MAX_ROUNDS = 60
 
@@ -24,10 +24,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         large = materialize(large, "large")
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u")
+        lowest = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(lowest, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u > v").distinct()
-        links = materialize(small, "links")
+        old, links = links, materialize(small, "links")
+        discard(old, least, large, lowest)
         # Stars: every id has one link, to an id that has none of its own. The signature tells when nothing changes.
         sign = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == before:

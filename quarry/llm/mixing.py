@@ -1,16 +1,20 @@
 """Mixing sources to target weights.
 
 The words of each source are packed, in pseudorandom order of its documents, into blocks of fixed length. Output
-shards draw how many slots each source gets; a slot maps through its source's pseudorandom permutation of block
-indexes, which starts anew after every pass over the source; slots and blocks join by index. DataFrame functions only.
+shards draw how many slots each source gets in them; a slot maps through its source's pseudorandom permutation of
+block indexes, which starts anew after every pass over the source; slots and blocks join by index. All draws, orders
+and permutations hang on hashes of the rows' values, so neither files nor partitions change the mixture. DataFrame
+functions only.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialize, text_or_empty, unused_name
+from .common import WORD_PATTERN, keyed, let, materialize, one_each, text_or_empty, unused_name
 
 BLOCK_WORDS = 64
 #: Slots of one output shard, on average.
@@ -21,11 +25,13 @@ BUCKET_DOCS = 512
 MAX_PASSES = 3
 #: Rounds of the shuffle that permutes block indexes.
 ROUNDS = 12
-#: Slots that are made from one row.
-CHUNK = 16_384
-#: Such rows that one task gets; a set number of partitions, as adaptive execution would put these small rows into one.
-CHUNKS_A_TASK = 4
+#: Slots that one task makes; a set number of partitions, as adaptive execution would put the few rows that they are
+#: made from into one.
+TASK_SLOTS = 65_536
 MAX_TASKS = 50_000
+#: Draws of at most so many slots are exact, of more by the normal approximation, and levels of draws that one task makes.
+EXACT = 4096
+FIRST_LEVELS = 8
 
 
 def word_count(text: Column) -> Column:
@@ -70,17 +76,17 @@ def permuted(index: Column, n: Column, key: Column, inverse: bool = False) -> Co
 def packed(sizes: DataFrame, n_docs: int) -> DataFrame:
     """sizes with ``start``: the words of the source's documents before this one, in pseudorandom order.
 
-    Sums run within buckets of about BUCKET_DOCS documents, then over runs of buckets, then over the runs, so a source
+    Rows that are equal in all values share a place, and which of them comes first makes no difference. Sums run within buckets of about BUCKET_DOCS documents, then over runs of buckets, then over the runs, so a source
     with a third of all rows is spread over as many tasks as its rows need.
     """
     buckets = max(1, -(-n_docs // BUCKET_DOCS))
-    rows = sizes.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
+    rows = sizes.withColumn("bucket", F.pmod(F.xxhash64("place"), F.lit(buckets)))
     sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("bucket_size")).withColumn("run", F.floor(F.col("bucket") / BUCKET_DOCS))
     runs = sums.groupBy("sid", "run").agg(F.sum("bucket_size").alias("run_size"))
     runs = runs.withColumn("run_start", F.sum("run_size").over(Window.partitionBy("sid").orderBy("run")) - F.col("run_size")).drop("run_size")
     starts = sums.withColumn("in_run", F.sum("bucket_size").over(Window.partitionBy("sid", "run").orderBy("bucket")) - F.col("bucket_size"))
     starts = starts.join(runs, ["sid", "run"]).select("sid", "bucket", (F.col("in_run") + F.col("run_start")).alias("bucket_start"))
-    inside = rows.withColumn("before", F.sum("size").over(Window.partitionBy("sid", "bucket").orderBy(F.xxhash64("row", F.lit(7)), "row")) - F.col("size"))
+    inside = rows.withColumn("before", F.sum("size").over(Window.partitionBy("sid", "bucket").orderBy("place", "doc_id", "size", "row")) - F.col("size"))
     return inside.join(starts, ["sid", "bucket"]).select(*sizes.columns, (F.col("before") + F.col("bucket_start")).alias("start"))
 
 
@@ -93,27 +99,61 @@ def source_plan(targets: DataFrame, block_words: int) -> DataFrame:
     return plan.withColumn("short", F.col("blocks") * block_words - F.col("source_size")).withColumn("short_place", permuted(F.col("blocks") - 1, F.col("blocks"), F.xxhash64("sid", "passes"), inverse=True))
 
 
-def slots(plan: DataFrame, block_words: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+def half_of(n: Column, key: Column) -> Column:
+    """A draw from the binomial distribution of n trials at one half, by hashes of ``key``.
+
+    Up to EXACT trials are bits that are counted; beyond, the normal distribution is off by less than a thousandth of
+    its deviation.
+    """
+    word = lambda i: F.xxhash64(key, i, F.lit("bits"))
+    bits = lambda i: F.when((i + 1) * 64 <= n, word(i)).otherwise(F.call_function("shiftrightunsigned", word(i), (F.lit(64) - n % 64).cast("int")))
+    counted = F.when(n > 0, F.aggregate(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / 64)), F.lit(0).cast("long"), lambda a, i: a + F.bit_count(bits(i)))).otherwise(0)
+    uniform = lambda name: (F.shiftrightunsigned(F.xxhash64(key, F.lit(name)), 11) + F.lit(0.5)) / F.lit(2.0**53)
+    normal = F.sqrt(-2 * F.log(uniform("radius"))) * F.cos(F.lit(6.283185307179586) * uniform("angle"))
+    near = F.least(F.greatest(F.round(n / 2 + normal * F.sqrt(n.cast("double")) / 2).cast("long"), F.lit(0).cast("long")), n)
+    return F.when(n <= EXACT, counted).otherwise(near).cast("long")
+
+
+def draws(plan: DataFrame, block_words: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """``plan`` with a row for each output shard and source that has slots there: shard, first, slots.
+
+    The slots that a source's target fixes are drawn into shards as a multinomial sample: halving the shards again and
+    again, a binomial draw tells how many slots go to the lower half. A source's slots are numbered through its
+    shards, so a shard holds the numbers from first on. Halves without slots are not followed, so the rows of a level
+    are no more than slots, nor than shards of each source.
+    """
+    last = F.when(F.col("rest") > 0, F.least("blocks", F.ceil((F.col("rest") + F.col("short")) / block_words).cast("long") + 1)).otherwise(0)
+    rows = plan.withColumn("slots", F.col("passes") * F.col("blocks") + last)
+    total = rows.agg(F.sum("slots")).first()[0] or 0
+    levels = max(0, math.ceil(math.log2(max(total, 1) / shard_slots)))
+    tasks = int(min(MAX_TASKS, -(-total // TASK_SLOTS))) or 1
+    rows = rows.withColumn("shard", F.lit(0).cast("long")).withColumn("first", F.lit(0).cast("long"))
+    kept = [c for c in rows.columns if c not in ("shard", "first", "slots")]
+    for level in range(levels):
+        if level == FIRST_LEVELS:
+            rows = rows.repartition(tasks, "sid", "shard")
+        drawn = rows.withColumn("lower", half_of(F.col("slots"), F.xxhash64("sid", F.lit(level), "shard")))
+        sides = F.array(
+            F.struct((2 * F.col("shard")).alias("shard"), F.col("first"), F.col("lower").alias("slots")),
+            F.struct((2 * F.col("shard") + 1).alias("shard"), (F.col("first") + F.col("lower")).alias("first"), (F.col("slots") - F.col("lower")).alias("slots")),
+        )
+        rows = drawn.select(*kept, F.explode(sides).alias("s")).select(*kept, "s.shard", "s.first", "s.slots").filter("slots > 0")
+    return rows.repartition(tasks, "sid", "shard")
+
+
+def slots(drawn: DataFrame, block_words: int) -> DataFrame:
     """The slots of the mixture: shard, sid, pass, block, words (the first words of the block that the slot takes).
 
-    Every slot is thrown into an output shard by a keyed hash, so the numbers of slots that shards draw from the
-    sources are multinomial, given the totals that the targets fix. The slots of one pass go through one permutation
-    of the source's blocks; the last pass ends within a block, when its words are used up.
+    The slots of one pass go through one permutation of the source's blocks; the last pass ends within a block, when
+    its words are used up.
     """
-    shards = plan.agg(F.greatest(F.ceil(F.sum("take") / (block_words * shard_slots)), F.lit(1)).cast("long").alias("shards"))
-    passes = plan.crossJoin(F.broadcast(shards)).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), "passes")))  # one row of shards
-    last = F.col("pass") == F.col("passes")
-    places = F.when(last, F.least("blocks", F.ceil((F.col("rest") + F.col("short")) / block_words).cast("long") + 1)).otherwise(F.col("blocks"))
-    passes = passes.withColumn("places", places).filter(~last | (F.col("rest") > 0))
-    parts = passes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("places") - 1) / CHUNK))))
-    chunks = plan.agg(F.sum(F.ceil(F.col("blocks") / CHUNK) * (F.col("passes") + 1))).first()[0] or 1
-    parts = parts.repartition(int(min(MAX_TASKS, -(-chunks // CHUNKS_A_TASK))), "sid", "pass", "part")
-    place = F.explode(F.sequence(F.col("part") * CHUNK, F.least("places", (F.col("part") + 1) * CHUNK) - 1))
-    rows = parts.withColumn("place", place).withColumn("block", permuted(F.col("place"), F.col("blocks"), F.xxhash64("sid", "pass")))
+    number = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("slots") - 1))
+    rows = drawn.withColumn("number", number).withColumn("pass", F.floor(F.col("number") / F.col("blocks"))).withColumn("place", F.col("number") % F.col("blocks"))
+    rows = rows.withColumn("block", permuted(F.col("place"), F.col("blocks"), F.xxhash64("sid", "pass")))
     before = F.col("place") * block_words - F.when(F.col("short_place") < F.col("place"), F.col("short")).otherwise(F.lit(0))
     whole = F.least(F.lit(block_words).cast("long"), F.col("source_size") - F.col("block") * block_words)
-    rows = rows.withColumn("words", F.when(last, F.greatest(F.least(whole, F.col("rest") - before), F.lit(0).cast("long"))).otherwise(whole)).filter("words > 0")
-    return rows.select(F.pmod(F.xxhash64("sid", "pass", "place", F.lit("shard")), F.col("shards")).alias("shard"), "sid", "pass", "block", "words")
+    rows = rows.withColumn("words", F.when(F.col("pass") == F.col("passes"), F.greatest(F.least(whole, F.col("rest") - before), F.lit(0).cast("long"))).otherwise(whole)).filter("words > 0")
+    return rows.select("shard", "sid", "pass", "block", "words")
 
 
 def shard_counts(slot_rows: DataFrame) -> DataFrame:
@@ -121,11 +161,13 @@ def shard_counts(slot_rows: DataFrame) -> DataFrame:
     return slot_rows.groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("slots"), F.sum("words").alias("words"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """row (a number for each row), doc_id, source, sid (a hash of the source), size; written, so rows keep their numbers."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text_or_empty()).alias("size"))
-    row = F.xxhash64("doc_id", "source", "size", F.monotonically_increasing_id())
-    return materialize(rows.withColumn("sid", F.xxhash64("source", F.col("source").isNull())).withColumn("row", row), "sizes")
+def sized(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """row, doc_id, source, sid (a hash of the source), place (a hash of the values, the order of packing), size and the
+    columns ``carry``; written, so that rows keep their numbers."""
+    source = F.col("source").cast("string")
+    place = F.xxhash64(F.col("doc_id").cast("long"), source, F.xxhash64(text_or_empty()))
+    found = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), place.alias("place"), word_count(text_or_empty()).alias("size"), *(carry or []))
+    return materialize(found.withColumn("sid", F.xxhash64("source", F.col("source").isNull())), "sizes")
 
 
 def pieces(docs_at: DataFrame, slot_rows: DataFrame, block_words: int) -> DataFrame:
@@ -138,54 +180,62 @@ def pieces(docs_at: DataFrame, slot_rows: DataFrame, block_words: int) -> DataFr
     return joined.filter("first < last")
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The mixture of ``docs``: sizes with positions, targets of the sources, slots, pieces of documents in the slots.
+def mix(sizes: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
+    """Targets of the sources, and pieces of the documents in the slots of the shards, from ``sized`` rows.
 
-    Needs doc_id, source and text; other columns are ignored. A null text has no words and is never taken; a null
-    source is a source of its own, weighed last. Repeated rows count as often as they come. An empty table, or one
-    without a word, gives targets of zero and no slots. The same rows in the same files give the same mixture.
+    A null text has no words and is never taken; a null source is a source of its own, weighed last. Repeated rows
+    count as often as they come. An empty table, or one without a word, gives targets of zero and no pieces. Equal
+    rows give equal mixtures, however they are dealt over files.
     """
-    sizes = sized(docs)
     targets = materialize(source_targets(sizes), "targets")
     plan = materialize(source_plan(targets, block_words), "plan")
-    taken = materialize(slots(plan, block_words), "slots")
-    at = packed(sizes, sizes.count())
-    return sizes, targets, taken, pieces(at, taken, block_words)
+    taken = materialize(slots(draws(plan, block_words), block_words), "slots")
+    return targets, pieces(packed(sizes, sizes.count()), taken, block_words)
 
 
 def mix_report(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document: what the mixture takes of it, repeats counted."""
-    sizes, targets, _, parts = mix(docs, block_words)
-    taken = parts.groupBy("row").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
+    """doc_id, size, source_size, target, taken, n_pieces, first_shard of every row: what the mixture takes of it.
+
+    ``taken`` counts repeats; n_pieces are the slots that hold some of it, first_shard the lowest shard of them (null
+    without any). Nulls, repeats and empty tables as in ``mix``; other columns are ignored.
+    """
+    sizes = sized(docs)
+    targets, parts = mix(sizes, block_words)
+    taken = parts.groupBy("row").agg(F.sum(F.col("last") - F.col("first")).alias("taken"), F.count(F.lit(1)).alias("n_pieces"), F.min("shard").alias("first_shard"))
     out = sizes.join(taken, "row", "left").join(targets.select("sid", "source_size", "target"), "sid", "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    zero = F.lit(0).cast("long")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", zero).alias("taken"), F.coalesce("n_pieces", zero).alias("n_pieces"), "first_shard")
 
 
 def mix_shards(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The mixture by output shard: shard, doc_id, source, pass, first, last (words of the document, before last)."""
-    sizes, _, _, parts = mix(docs, block_words)
-    return parts.join(sizes.select("row", "doc_id", "source"), "row").select("shard", "doc_id", "source", "pass", "first", "last")
+    sizes = sized(docs)
+    return mix(sizes, block_words)[1].join(sizes.select("row", "doc_id", "source"), "row").select("shard", "doc_id", "source", "pass", "first", "last")
 
 
 def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The mixture as documents: a row for each document and pass that takes words of it, with the columns of ``docs``.
 
     The text is the original where a pass takes all its words, else the words taken, joined by single spaces; n_chars,
-    where there is such a column, counts the code points of the new text.
+    where there is such a column, counts the code points of the new text. Rows are known by a hash of all their values;
+    of rows that are equal in all columns each is mixed by itself. Texts without words are in no pass; null sources and
+    ids as in ``mix``; columns of any name pass unchanged. An empty table gives no rows.
     """
-    name = unused_name("row", docs.columns)
-    # The rows keep their numbers because they are written before they are counted.
-    rows = materialize(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
-    sizes = materialize(rows.select(F.col(name).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text_or_empty()).alias("size")).withColumn("sid", F.xxhash64("source", F.col("source").isNull())), "sizes")
-    targets = materialize(source_targets(sizes), "targets")
-    taken = materialize(slots(source_plan(targets, block_words), block_words), "slots")
-    parts = pieces(packed(sizes, sizes.count()), taken, block_words)
+    rows, keys = keyed(docs)
+    sizes = sized(rows, keys)
+    parts = mix(sizes, block_words)[1]
     ranges = parts.groupBy("row", "pass").agg(F.sum(F.col("last") - F.col("first")).alias("n"), F.array_sort(F.collect_list(F.struct("first", "last"))).alias("ranges"))
-    kept = ranges.join(sizes.select("row", "size"), "row").select(F.col("row").alias(f"{name}_of"), (F.col("n") == F.col("size")).alias(f"{name}_whole"), F.col("ranges").alias(f"{name}_ranges"))
-    joined = rows.join(kept, F.col(name) == F.col(f"{name}_of"))
+    taken = ranges.join(sizes.select("row", "size", *keys), "row")
+    # Equal rows take their words from any of them, so the passes of all join one; without such rows nothing is added.
+    passes = taken.groupBy(*keys).agg(F.collect_list(F.struct((F.col("n") == F.col("size")).alias("whole"), "ranges")).alias(mine := unused_name("passes", docs.columns)))
+    passes = materialize(passes, "passes")
+    again = materialize(sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*keys), "again")
+    joined = one_each(rows, keys, None, again).join(passes, keys)
     words = F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform(F.col(f"{name}_ranges"), lambda r: F.slice(words, (r["first"] + 1).cast("int"), (r["last"] - r["first"]).cast("int")))), " ")
-    out = joined.withColumn("text", F.when(F.col(f"{name}_whole"), F.col("text")).otherwise(cut))
+    cut = lambda p, w: F.array_join(F.flatten(F.transform(p["ranges"], lambda r: F.slice(w, (r["first"] + 1).cast("int"), (r["last"] - r["first"]).cast("int")))), " ")
+    every = F.forall(mine, lambda p: p["whole"])
+    texts = F.when(every, F.transform(mine, lambda p: F.col("text"))).otherwise(let(words, lambda w: F.transform(mine, lambda p: F.when(p["whole"], F.col("text")).otherwise(cut(p, w)))))
+    out = joined.withColumn("text", F.explode(texts))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -6,6 +6,7 @@
    an exponential scale of base ``BASE``, truncated to a byte. Registers of a union are the maxima of the registers.
 3. Bands of ``ROWS`` registers are the keys of buckets. A bucket offers the links from its members to one hub, picked
    by hash; what stays apart after that is compared within the buckets, in blocks, between different components only.
+   A bucket of more than a block is split by every other band first, so its members meet where two bands agree.
 4. The likelihood of a pair's registers gives an estimate of its similarity; clearly different pairs go.
 5. The others are verified on their full sets.
 """
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize, numbered, text_or_empty, without_ids
+from .common import KEY_ROWS, bounded, discard, keyed, materialize, one_each, slices, small_batches, text_or_empty
 from .components import connected_components
 
 REGISTERS = 80
@@ -34,8 +35,10 @@ RATE = 20.0
 LEVELS = 1 << 11
 #: Standard errors by which an estimate may miss the threshold before its pair is left out unverified.
 SLACK = 4.0
-#: Members of a bucket that meet in one block; larger buckets are compared block against block.
+#: Members of a bucket that meet in one block; larger buckets are split by other bands, then compared block by block.
 BLOCK = 1024
+#: Distinct words a worker remembers.
+WORDS = 1 << 16
 
 _rng = np.random.default_rng(20_170_301)
 _FACTORS = _rng.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) | np.uint64(1)
@@ -47,7 +50,7 @@ class _Words(dict):
     """Word -> 64-bit hash, filled on demand and emptied when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) >= WORDS:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -122,21 +125,25 @@ def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent
     return near
 
 
+KEYS = ["key1", "key2"]
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null without words), registers (null without words)."""
+    """doc_id, key1, key2, n_shingles, digest of the set (null without words), registers (null without words)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        for batch in batches:
+        for batch in slices(batches):
             sizes, digests, found = [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            for text in batch.column(3).cast(pa.binary()).to_pylist():
                 items = shingle_set(text, width, words)
                 sizes.append(len(items))
                 digests.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
                 found.append(registers_of(items).tobytes() if len(items) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(found, pa.binary())], names=["doc_id", "n_shingles", "digest", "registers"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(found, pa.binary())], names=["doc_id", *KEYS, "n_shingles", "digest", "registers"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, registers binary")
+    rows = docs.select(F.col("doc_id").cast("long"), *KEYS, text_or_empty().alias("text"))
+    return rows.mapInArrow(sketch, "doc_id long, key1 long, key2 long, n_shingles long, digest binary, registers binary")
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
@@ -163,16 +170,16 @@ def keep_likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """id and full set (sorted 64-bit hashes) of the wanted documents."""
+    """id and full set (sorted 64-bit hashes) of the wanted classes (id, key1, key2): one row's text for each."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingle_set(t, width, words).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "items"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).join(bounded(wanted), "id", "left_semi")
-    return rows.mapInArrow(build, "id long, items binary")
+    rows = docs.select(*KEYS, text_or_empty().alias("text")).join(bounded(wanted, KEY_ROWS), KEYS).select("id", "text")
+    return rows.mapInArrow(build, "id long, items binary").dropDuplicates(["id"])
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -188,7 +195,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, other, ia, ib = (c.to_pylist() for c in batch.columns)
             good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(ia, ib, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([v for v, g in zip(ids, good, strict=True) if g], pa.int64()), pa.array([v for v, g in zip(other, good, strict=True) if g], pa.int64())], names=["a", "b"])
@@ -208,6 +215,33 @@ def mixed_buckets(members: DataFrame) -> DataFrame:
     return whole.groupBy("sign", "size").agg(F.min(F.struct("band", "bucket", "m.component")).alias("m")).select("m.bucket", "size", F.col("m.component").alias("main"))
 
 
+def split_hot(members: DataFrame) -> DataFrame:
+    """``members`` with the buckets of more than a block replaced by what is mixed of their parts, by one more band.
+
+    Band j within a bucket of band i is BANDS * (1 + i) + j. Texts that only share a common passage rarely agree on two
+    bands, so a large bucket of texts that are all apart falls into small parts; a pair at the threshold that agrees on
+    one band of all alone is as good as never met (1 in 10,000 at 0.8, 1 in 100,000 at 0.85).
+    """
+    hot = members.filter(F.col("size") > BLOCK)
+    width = 2 * ROWS
+    keys = F.array(*[F.xxhash64("bucket", F.lit(j), F.substring("registers", j * width + 1, width)) for j in range(BANDS)])
+    parts = hot.select("id", "component", "n_shingles", "registers", F.col("band").alias("of"), F.posexplode(keys).alias("j", "bucket")).filter("j != of")
+    parts = parts.withColumn("band", ((F.col("of") + 1) * BANDS + F.col("j")).cast("int")).drop("of", "j")
+    mixed = mixed_buckets(parts)
+    return members.filter(F.col("size") <= BLOCK).unionByName(parts.join(mixed, "bucket").select(*members.columns))
+
+
+def met_first(agree: np.ndarray, band: int) -> np.ndarray:
+    """Which pairs (rows of equal registers) count in a bucket of this band: it is the first that agrees, or the first two."""
+    bands = agree.reshape(-1, BANDS, ROWS).all(axis=2)
+    outer, inner = (band, None) if band < BANDS else (band // BANDS - 1, band % BANDS)
+    here = bands.argmax(axis=1) == outer
+    if inner is not None:
+        bands[:, outer] = False
+        here &= bands.argmax(axis=1) == inner
+    return here
+
+
 MEMBER = "bucket long, band int, block int, guest boolean, id long, component long, n_shingles long"
 
 
@@ -236,7 +270,7 @@ def candidates(f: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray, n
         equal = regs[part][:, None, :] == regs[right][None, :, :]
         i, j = np.nonzero((equal.sum(axis=2) >= need) & (label[part][:, None] != label[right][None, :]))
         agree = equal[i, j]
-        first = agree.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        first = met_first(agree, band)
         found.append((part[i[first]], right[j[first]], agree[first].sum(axis=1)))
     x, y, same = (np.concatenate([p[k] for p in found]) if found else np.zeros(0, np.int64) for k in range(3))
     if len(x):
@@ -245,8 +279,8 @@ def candidates(f: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray, n
     return x, y, same
 
 
-def crossing_links(members: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between different components of a bucket, and the sets it has needed.
+def crossing_links(members: DataFrame, classes: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) between different components of a bucket, and the tables it has written for them.
 
     ``members``: bucket, band, size, main, id, n_shingles, registers, component. First the registers tell which members
     have a likely pair at all; only their sets are fetched, and pairs are verified where they meet, the likeliest
@@ -267,75 +301,116 @@ def crossing_links(members: DataFrame, docs: DataFrame, sets: DataFrame, width:
                 out.append((max(ids[x[k]], ids[y[k]]), min(ids[x[k]], ids[y[k]])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    near = materialize(seated(members).groupBy("bucket", "block").applyInPandas(involved, f"{MEMBER}, registers binary"), "involved")
-    missing = materialize(near.select("id").distinct().join(sets.select("id"), "id", "left_anti"), "missing")
+    near = materialize(seated(split_hot(members)).groupBy("bucket", "block").applyInPandas(involved, f"{MEMBER}, registers binary"), "involved")
+    missing = near.select("id").distinct().join(sets.select("id"), "id", "left_anti").join(classes.select("id", *KEYS), "id")
+    missing = materialize(missing, "missing")
+    written = [near, missing]
     if missing.limit(1).count():
-        sets = sets.unionByName(materialize(class_sets(docs, missing, width), "sets"))
-    rows = near.join(sets.dropDuplicates(["id"]), "id").select(*near.columns, "items")
-    return rows.groupBy("bucket", "block").applyInPandas(linked, "a long, b long").distinct(), sets
+        written.append(materialize(class_sets(docs, missing, width), "sets"))
+        sets = sets.unionByName(written[-1])
+    rows = near.join(sets, "id").select(*near.columns, "items")
+    return rows.groupBy("bucket", "block").applyInPandas(linked, "a long, b long").distinct(), written
 
 
-def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The verdict on every row of ``docs``: doc_id, n_shingles, component_id, kept, n_links.
+def near_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, key1, key2, row, n_shingles, part of every row of ``docs`` (``keyed``); written.
 
-    Texts link when 100 * |intersection| >= percent * |union| of their shingle sets; component_id is the smallest
-    doc_id that links reach, and kept marks it. n_links counts the links found from the document's class of equal
-    sets to other classes. A null, empty or blank text has no shingles, links with nothing and is its own component.
-    Rows with one doc_id are one document; a null doc_id is reported with a null component and stays. An empty table
-    gives no rows; other columns are ignored.
+    Texts link when 100 * |intersection| >= percent * |union| of their shingle sets. ``part`` is the least row number
+    that links reach; the numbers are of this table, given once. A row without words is a part of its own.
     """
-    found = materialize(sketches(docs, width), "sketches")
-    classes = found.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers"))
-    # One doc_id may stand for several texts: then it has a row for each.
-    classes = materialize(classes, "classes")
+    small_batches(docs.sparkSession)
+    found = materialize(sketches(docs, width).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    first = F.min(F.struct(F.col("row").alias("id"), *KEYS)).alias("m")
+    classes = found.filter("digest is not null").groupBy("digest").agg(first, F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers"))
+    classes = materialize(classes.select("digest", "m.*", "n_shingles", "registers"), "classes")
     bands = band_rows(classes)
     buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("bucket", "id").alias("h"), F.col("id").alias("hub"))).alias("m")).filter("size > 1")
     buckets = materialize(buckets.select("bucket", "size", F.col("m.hub").alias("hub")), "buckets")
     pairs = bands.join(buckets, "bucket").filter("id != hub").groupBy(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
-    offered = materialize(keep_likely(materialize(pairs, "pairs"), classes, percent), "offered")
+    pairs = materialize(pairs, "pairs")
+    offered = materialize(keep_likely(pairs, classes, percent), "offered")
+    discard(pairs)
     # First the link of each document that most bands offer: most components are complete after it.
     first = offered.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     first = materialize(first, "first")
-    ids = lambda p: materialize(p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct(), "ids")
-    sets = materialize(class_sets(docs, ids(offered), width), "sets")
+    ids = offered.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", *KEYS), "id")
+    ids = materialize(ids, "ids")
+    sets = materialize(class_sets(docs, ids, width), "sets")
     links = materialize(verify(first, sets, percent), "links")
     parts = materialize(connected_components(links), "parts")
     named = lambda frame, key, as_: frame.join(parts.select(F.col("id").alias(key), F.col("component").alias(as_)), key, "left").withColumn(as_, F.coalesce(as_, key))
-    apart = lambda tried: named(named(offered, "a", "ca"), "b", "cb").filter("ca != cb").join(tried, ["a", "b"], "left_anti")
     # Then, for every two components that other hubs offer to join, the pair with the most votes.
-    best = apart(first).groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("votes", "a", "b")).alias("m"))
-    second = materialize(best.select("m.a", "m.b"), "second")
-    links = materialize(links.unionByName(verify(second, sets, percent)), "links")
-    parts = materialize(connected_components(links), "parts")
+    apart = named(named(offered, "a", "ca"), "b", "cb").filter("ca != cb").join(first, ["a", "b"], "left_anti")
+    apart = materialize(apart.select("a", "b", "votes", F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")), "apart")
+    second = materialize(apart.groupBy("x", "y").agg(F.max(F.struct("votes", "a", "b")).alias("m")).select("m.a", "m.b"), "second")
+    links, parts = _joined(links, parts, verify(second, sets, percent))
     # Last, whatever may still join two of them: other hubs, and members of one bucket.
-    rest = materialize(apart(first.unionByName(second)).select("a", "b"), "rest")
-    links = materialize(links.unionByName(verify(rest, sets, percent)), "links")
-    parts = materialize(connected_components(links), "parts")
+    rest = named(named(apart, "a", "ca"), "b", "cb").filter("ca != cb").join(second, ["a", "b"], "left_anti")
+    links, parts = _joined(links, parts, verify(materialize(rest.select("a", "b"), "rest"), sets, percent))
     members = materialize(named(bands.join(buckets.select("bucket"), "bucket"), "id", "component"), "members")
     mixed = materialize(mixed_buckets(members), "mixed")
     inside = members.join(mixed, "bucket").join(classes.select("id", "n_shingles", "registers"), "id")
-    crossing, sets = crossing_links(inside, docs, sets, width, percent)
-    links = materialize(links.unionByName(crossing), "links")
-    parts = materialize(connected_components(links), "parts")
-    links = links.distinct()
-    degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    of_class = classes.select("digest", "id").join(parts, "id", "left").join(degree, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    crossing, more = crossing_links(inside, classes, docs, sets, width, percent)
+    links, parts = _joined(links, parts, crossing)
+    of_class = classes.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("part"))
     of_class = materialize(of_class, "verdicts")
-    out = found.join(of_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "n_links")
+    discard(buckets, offered, first, ids, sets, apart, second, members, mixed, classes, links, parts, *more)
+    out = found.drop("registers").join(of_class, "digest", "left").withColumn("part", F.coalesce("part", "row")).drop("digest")
+    out = materialize(out, "rows")
+    discard(found, of_class)
+    return out
+
+
+def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The verdict on every row of ``docs``: doc_id, n_shingles, component_id, kept.
+
+    Texts link as in ``near_rows``; component_id is the smallest doc_id that links reach, and kept marks it. A null,
+    empty or blank text has no shingles, links with nothing and is its own component. Rows with one doc_id are one
+    document, so they join their components; a null doc_id links with nothing, has a null component and stays. An empty
+    table gives no rows; other columns are ignored.
+    """
+    rows, keys = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    found = near_rows(rows.withColumnsRenamed(dict(zip(keys, KEYS, strict=True))).filter("doc_id is not null"), width, percent)
+    # Texts of one doc_id: their parts are one.
+    shared = found.groupBy("doc_id").agg(F.min("part").alias("b"), F.max("part").alias("last")).filter("b != last")
+    ties = materialize(found.join(shared, "doc_id").filter("part != b").select(F.col("part").alias("a"), "b").distinct(), "ties")
+    if ties.limit(1).count():
+        joined = materialize(connected_components(ties), "parts").withColumnRenamed("id", "part")
+        found = found.join(joined, "part", "left").withColumn("part", F.coalesce("component", "part"))
+    least = materialize(found.groupBy("part").agg(F.min("doc_id").alias("component_id")), "least")
+    out = found.join(least, "part").select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    nulls = sketches(rows.withColumnsRenamed(dict(zip(keys, KEYS, strict=True))).filter("doc_id is null"), width)
+    return out.unionByName(nulls.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))
+
+
+def _joined(links: DataFrame, parts: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links with those ``found``, and components by them; without new ones, as they were."""
+    found = materialize(found, "links")
+    if not found.limit(1).count():
+        discard(found)
+        return links, parts
+    # Components are stars already, so only their centres and the new links go through the rounds.
+    together = materialize(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found), "links")
+    grown = materialize(connected_components(together), "parts")
+    discard(links, parts, found)
+    return together, grown
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each component; all columns stay.
 
     Components are of rows, whatever their ids. The row with the smallest doc_id stays (null last); of several with
-    one doc_id the first written one.
+    one doc_id the one with the smallest key, a hash of all its values, and of rows that are equal in all columns one.
+    Rows without words all stay, but for such repeats; an empty table gives no rows; columns of any name pass unchanged.
     """
-    rows, row = numbered(docs)
-    ids = rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    parts = near_groups(rows.select(F.col(row).alias("doc_id"), "text"), width, percent)
-    parts = materialize(parts.select(F.col("doc_id").alias("row"), F.col("component_id").alias("part")).join(ids, "row"), "parts")
-    best = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "row")
-    kept = parts.groupBy("part").agg(F.min_by("row", best).alias("row")).select("row")
-    dropped = materialize(parts.select("row").join(kept, "row", "left_anti").withColumnRenamed("row", row), "near-copies")
-    return without_ids(rows, dropped, row).select(*docs.columns)
+    rows, keys = keyed(docs)
+    plain = rows.select("doc_id", "text", *[F.col(k).alias(n) for k, n in zip(keys, KEYS, strict=True)])
+    found = near_rows(plain, width, percent)
+    best = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), *KEYS)
+    kept = materialize(found.groupBy("part").agg(F.min_by(F.struct(*KEYS), best).alias("m")).select("m.*").distinct(), "kept")
+    counted = materialize(found.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")), "keys")
+    named = dict(zip(KEYS, keys, strict=True))
+    dropped = materialize(counted.join(kept, KEYS, "left_anti").select(*KEYS).withColumnsRenamed(named), "near-copies")
+    again = materialize(counted.filter("n > 1").join(kept, KEYS, "left_semi").select(*KEYS).withColumnsRenamed(named), "again")
+    discard(found, kept, counted)
+    return one_each(rows, keys, dropped, again).select(*docs.columns)

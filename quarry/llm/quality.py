@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import trees
-from .common import materialize, remainder, text_or_empty, unused_name
+from .common import materialize, remainder, slices, small_batches, text_or_empty, unused_name
 
 #: The statistics, in the order of the rules' feature numbers.
 STATISTICS = ("log_words", "mean_word", "longest_word", "distinct_words", "short_words", "upper", "digits", "punctuation", "symbols", "exclamations", "bars", "line_ends", "repeated_lines", "spaces", "non_ascii", "top_word")
@@ -55,10 +55,11 @@ def statistics_of(text: bytes) -> list[float]:
 
 def with_statistics(docs: DataFrame, carry: list[str], name: str = "statistics") -> DataFrame:
     """The columns ``carry`` of ``docs`` and, in the array ``name``, the statistics of its text."""
+    small_batches(docs.sparkSession)
     rows = docs.select(*carry, text_or_empty().alias(f"{name}_text"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([statistics_of(t) for t in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()], np.float64)
             offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * len(STATISTICS)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.reshape(-1)))
@@ -149,7 +150,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects. The rows don't shuffle."""
+    """``docs`` without the rows that the classifier rejects. The rows don't shuffle.
+
+    Rows are judged as in ``classify``: each by itself, empty texts and null ids too. Without labels every score is 0.5
+    and no row stays; an empty table gives no rows; columns of any name pass unchanged.
+    """
     found = materialize(with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]), "statistics")
     model = train(found, labels)
     name = unused_name("statistics", docs.columns)
