@@ -2,14 +2,14 @@
 
 An example's context is all that comes before the turn, and only the reply is trainable. All examples of a
 conversation are prefixes of one rendering, so they are kept as that rendering with the offsets of each example;
-``explode_examples`` writes them out. DataFrame functions only.
+``explode_examples`` writes them out, a row for each. DataFrame functions only.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Escapes, in this order: what opens a mark of this template or of another common one never stands in a text or role.
@@ -41,28 +41,25 @@ def prefix_targets(conversations: DataFrame) -> DataFrame:
     """
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
-    turns = rows.select("conv_id", F.struct("turn", "role", "text").alias("t"))
+    rows = rows.withColumn("rendered", render_turn(F.col("role"), F.col("text"))).withColumn("head", F.length(F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MIDDLE))).cast("long"))
+    # The ends of the turns are running sums over the sorted turns; what follows needs no other shuffle.
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    stop = F.sum(F.length("rendered").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    turns = rows.select("conv_id", F.struct(F.row_number().over(order).alias("place"), "rendered", (F.col("role") == "assistant").alias("reply"), "head", stop.alias("stop")).alias("t"))
     grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    rendered = F.transform("turns", lambda t: render_turn(t["role"], t["text"]))
-    # Of each turn: whether it is a reply, the length of its rendering, and of what comes before its text.
-    marks = F.transform("turns", lambda t: F.struct((t["role"] == "assistant").alias("reply"), F.length(render_turn(t["role"], t["text"])).cast("long").alias("n"), F.length(F.concat(F.lit(OPEN), escape(t["role"]), F.lit(MIDDLE))).cast("long").alias("head")))
-    grouped = grouped.select("conv_id", F.array_join(rendered, "").alias("formatted"), marks.alias("marks"))
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("at"), zero.alias("after"), F.array().cast("array<struct<stop:bigint,first:bigint,last:bigint>>").alias("found"))
-
-    def step(acc: Column, m: Column) -> Column:
-        stop = acc["at"] + m["n"]
-        example = F.struct(stop.alias("stop"), (acc["at"] + m["head"]).alias("first"), (stop - len(CLOSE)).alias("last"))
-        return F.struct(stop.alias("at"), F.when(m["reply"], stop).otherwise(acc["after"]).alias("after"), F.when(m["reply"], F.concat(acc["found"], F.array(example))).otherwise(acc["found"]).alias("found"))
-
-    done = grouped.withColumn("done", F.aggregate("marks", start, step))
-    rest = F.struct(F.col("done.at").alias("stop"), F.col("done.at").alias("first"), F.col("done.at").alias("last"))
-    examples = F.when(F.col("done.at") > F.col("done.after"), F.concat(F.col("done.found"), F.array(rest))).otherwise(F.col("done.found"))
-    return done.select("conv_id", "formatted", examples.alias("examples"))
+    example = lambda t: F.struct(t["stop"].alias("stop"), (t["stop"] - F.length(t["rendered"]) + t["head"]).alias("first"), (t["stop"] - len(CLOSE)).alias("last"))
+    replies = F.transform(F.filter("turns", lambda t: t["reply"]), example)
+    end = F.element_at("turns", -1)
+    rest = F.array(F.struct(end["stop"].alias("stop"), end["stop"].alias("first"), end["stop"].alias("last")))
+    examples = F.when(end["reply"], replies).otherwise(F.concat(replies, rest))
+    return grouped.select("conv_id", F.array_join(F.transform("turns", lambda t: t["rendered"]), "").alias("formatted"), examples.alias("examples"))
 
 
 def explode_examples(targets: DataFrame) -> DataFrame:
-    """A row for each example: conv_id, example, formatted (context and reply), loss_first, loss_last."""
+    """A row for each example: conv_id, example, formatted (context and reply), loss_first, loss_last.
+
+    Rows of ``targets`` with one conv_id are each expanded; no rows give none.
+    """
     rows = targets.select("conv_id", "formatted", F.posexplode("examples").alias("example", "e"))
     return rows.select("conv_id", "example", F.substring("formatted", F.lit(1), F.col("e.stop").cast("int")).alias("formatted"), F.col("e.first").alias("loss_first"), F.col("e.last").alias("loss_last"))
 
@@ -83,7 +80,8 @@ def read_back(targets: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars (of all examples), n_examples.
 
     All are read from the examples as ``explode_examples`` writes them: the turns from the last one, which is the whole
-    conversation, the trainable text from each one's own span.
+    conversation, the trainable text from each one's own span. Empty roles and texts read back as such; a conversation
+    without a reply has one example and no trainable text; no rows give none.
     """
     loss = unescape(F.substring("formatted", (F.col("loss_first") + 1).cast("int"), (F.col("loss_last") - F.col("loss_first")).cast("int")))
     parts = explode_examples(targets).select("conv_id", "example", "formatted", loss.alias("loss"))
