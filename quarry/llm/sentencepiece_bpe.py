@@ -11,24 +11,26 @@ pieces back from the two states that the combination fixed.
 from __future__ import annotations
 
 import re
+from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, text_or_empty, unused_name
+from .common import let, materialize, small_batches, text_or_empty, unused_name
 
 #: Code points of a chunk; longer documents are encoded in chunks.
 CHUNK_CHARS = 32_768
 SPACE = "▁"
 #: A run of spaces and what follows it up to the next one. No piece spans the start of such a unit.
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Distinct units a worker remembers, and texts it splits into units at a time.
-_CACHE = 200_000
+#: Distinct units a worker remembers, the code points of the longest of them, and texts it splits into units at a time.
+_CACHE = 100_000
+_LONGEST = 64
 GROUP = 32
 #: A state: the piece at a place, or None before the first, and the position where it ends.
 State = tuple[int | None, int]
@@ -111,9 +113,10 @@ class Bpe:
         if len(self.cache) + len(new) > _CACHE:
             self.cache.clear()
             new = list({u for x in units for u in x})
-        for u, ids in zip(new, self.raw.encode(new, num_threads=1) if new else [], strict=True):
-            self.cache[u] = np.asarray(ids, "<i4").tobytes()
-        return [np.frombuffer(b"".join(map(self.cache.__getitem__, x)), "<i4") for x in units]
+        fresh = {u: np.asarray(ids, "<i4").tobytes() for u, ids in zip(new, self.raw.encode(new, num_threads=1) if new else [], strict=True)}
+        self.cache.update((u, ids) for u, ids in fresh.items() if len(u) <= _LONGEST)
+        found = ChainMap(self.cache, fresh) if any(len(u) > _LONGEST for u in fresh) else self.cache
+        return [np.frombuffer(b"".join(map(found.__getitem__, x)), "<i4") for x in units]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; the space that encoding puts first goes."""
@@ -253,9 +256,12 @@ def encode(docs: DataFrame, carry: list[str] | None = None, model_file: str = DE
     """The columns ``carry`` (doc_id, text) of each row with ids (little-endian 32-bit numbers in one binary) and n_chunks.
 
     The ids are those of the plain encoder, whatever the chunks. A null or empty text has no ids and no chunk. Repeated
-    rows are each encoded; an empty table gives no rows. The model file is read once, by the driver.
+    rows are each encoded; an empty table gives no rows. Carried columns called ids or n_chunks are an error. The model
+    file is read once, by the driver.
     """
     carry = carry or ["doc_id", "text"]
+    if {c.lower() for c in carry} & {"ids", "n_chunks"}:
+        raise ValueError("the columns ids and n_chunks are results")
     spark = docs.sparkSession
     small_batches(spark)
     proto = spark.sparkContext.broadcast(open(model_file, "rb").read())
@@ -283,13 +289,17 @@ def encode_giants(texts: DataFrame, proto, chunk_chars: int) -> DataFrame:
     """row, ids, n_chunks from (row, text) by the max-plus scan over chunks."""
     margin = _model(proto.value).longest
     whole = F.concat(F.lit(SPACE), F.replace("text", F.lit(" "), F.lit(SPACE)))
-    parts = texts.select("row", whole.alias("text")).withColumn("n", F.length("text"))
-    parts = parts.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk_chars).cast("int"))))
-    start = F.greatest(F.col("chunk") * chunk_chars - margin, F.lit(0))
-    left = F.col("chunk") * chunk_chars - start
-    right = F.least(F.col("n"), (F.col("chunk") + 1) * chunk_chars) - start
-    cut = F.substring("text", start + 1, right + margin + 1)
-    parts = materialize(parts.select("row", "chunk", cut.alias("text"), left.cast("int").alias("left"), right.cast("int").alias("right"), (start + right == F.col("n")).alias("final")), "chunks")
+    # One pass cuts a text; each chunk then takes its margins from its neighbours.
+    cuts = texts.select("row", F.regexp_extract_all(whole, F.lit("(?s).{1,%d}" % chunk_chars), F.lit(0)).alias("cuts"))
+
+    def chunk(text: Column, i: Column, cuts: Column) -> Column:
+        before = F.when(i > 0, F.substring(F.get(cuts, i - 1), -margin, margin)).otherwise(F.lit(""))
+        after = F.coalesce(F.substring(F.get(cuts, i + 1), 1, margin + 1), F.lit(""))
+        left = F.length(before)
+        return F.struct(F.concat(before, text, after).alias("text"), left.alias("left"), (left + F.length(text)).alias("right"), (i == F.size(cuts) - 1).alias("final"))
+
+    chunks = F.posexplode(let(F.col("cuts"), lambda all_: F.transform(all_, lambda t, i: chunk(t, i, all_))))
+    parts = materialize(cuts.select("row", chunks.alias("chunk", "c")).select("row", "chunk", "c.*"), "chunks")
 
     def edges(bpe: Bpe, text: str, left: int, right: int, final: bool) -> tuple[list[State], list[State], np.ndarray]:
         # The margin before a chunk that starts within a document is not the start of a document.
@@ -324,7 +334,7 @@ def encode_giants(texts: DataFrame, proto, chunk_chars: int) -> DataFrame:
 
 
 def decode(encoded: DataFrame, model_file: str = DEFAULT_MODEL) -> DataFrame:
-    """``encoded`` with ``decoded``, the text of its ids; null ids give null.
+    """``encoded`` with ``decoded``, the text of its ids; null ids give null, no ids the empty text, no rows none.
 
     The text is the encoded one exactly, but that U+2581 becomes a space, as the format has it.
     """
@@ -343,7 +353,10 @@ def decode(encoded: DataFrame, model_file: str = DEFAULT_MODEL) -> DataFrame:
 
 
 def report(docs: DataFrame, model_file: str = DEFAULT_MODEL) -> DataFrame:
-    """doc_id, n_tokens, n_chunks, ids_sha256, decoded_sha256, round_trip of every row."""
+    """doc_id, n_tokens, n_chunks, ids_sha256, decoded_sha256, round_trip of every row.
+
+    Null texts count as empty and have no tokens; null and repeated ids are reported as they come; no rows give none.
+    """
     rows = decode(encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), model_file=model_file), model_file)
     same = F.col("decoded") == F.replace("text", F.lit(SPACE), F.lit(" "))
     return rows.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "n_chunks", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
