@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import chat, exact_dedup, fingerprint, lm_scoring, mixing, near_dedup, pii, quality, sentencepiece_bpe, urls
 from .common import table
 
@@ -67,7 +65,6 @@ QUERIES: dict[str, Query] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_chat_examples": op10_chat_examples,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -106,5 +103,3 @@ ORACLE_SQL: dict[str, str] = {
         GROUP BY conv_id
     """,
 }
-if corpus_pipeline.ORACLE_SQL is not None:
-    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
