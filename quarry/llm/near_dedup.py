@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import KEY_ROWS, bounded, discard, keyed, materialize, one_each, slices, small_batches, text_or_empty
 from .components import connected_components
+from .words import hashed_words, mix
 
 REGISTERS = 80
 ROWS = 4
@@ -37,42 +38,25 @@ LEVELS = 1 << 11
 SLACK = 4.0
 #: Members of a bucket that meet in one block; larger buckets are split by other bands, then compared block by block.
 BLOCK = 1024
-#: Distinct words a worker remembers.
-WORDS = 1 << 16
 
 _rng = np.random.default_rng(20_170_301)
 _FACTORS = _rng.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) | np.uint64(1)
 _OFFSETS = _rng.integers(1, 1 << 63, REGISTERS, dtype=np.uint64)
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_M1 = np.uint64(0xBF58476D1CE4E5B9)
 
 
-class _Words(dict):
-    """Word -> 64-bit hash, filled on demand and emptied when it grows large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_set(text: bytes, width: int, words: dict) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles; with fewer words, of the whole sequence; without words, none."""
-    tokens = text.lower().split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))
-    k = min(width, len(h))
-    out = np.full(len(h) - k + 1, k, np.uint64)
-    for i in range(k):
-        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles; with fewer words, of the whole sequence; without words, none."""
+    found, offsets = hashed_words(texts)
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        h, k = found[a:b], min(width, b - a)
+        if not k:
+            yield np.zeros(0, np.uint64)
+            continue
+        out = np.full(len(h) - k + 1, k, np.uint64)
+        for i in range(k):
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
+        yield np.unique(out)
 
 
 def registers_of(items: np.ndarray) -> np.ndarray:
@@ -132,11 +116,9 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, key1, key2, n_shingles, digest of the set (null without words), registers (null without words)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
         for batch in slices(batches):
             sizes, digests, found = [], [], []
-            for text in batch.column(3).cast(pa.binary()).to_pylist():
-                items = shingle_set(text, width, words)
+            for items in shingle_sets(batch.column(3).cast(pa.binary()).to_pylist(), width):
                 sizes.append(len(items))
                 digests.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
                 found.append(registers_of(items).tobytes() if len(items) else None)
@@ -173,9 +155,8 @@ def class_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """id and full set (sorted 64-bit hashes) of the wanted classes (id, key1, key2): one row's text for each."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
         for batch in slices(batches):
-            found = [shingle_set(t, width, words).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            found = [s.tobytes() for s in shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "items"])
 
     rows = docs.select(*KEYS, text_or_empty().alias("text")).join(bounded(wanted, KEY_ROWS), KEYS).select("id", "text")

@@ -272,7 +272,7 @@ def test_language_model_learns_from_every_training_document(spark):
         masses = np.ones(recurrent.SIDE**2)
         start = recurrent.initial(head_n + 1.0, masses)
         ranks = {w: i for i, w in enumerate(head.tolist())}
-        ids = [np.array([ranks[lm_scoring.word_hash(t)] for t in lm_scoring.tokens_of(text.encode())]) for _, text in rows]
+        ids = [np.array([ranks[t] for t in lm_scoring.tokens([text.encode()])[0].tolist()]) for _, text in rows]
         units = lm_scoring.as_units(docs, head, head_n, masses)
         assert [np.frombuffer(r.units, "<u2").tolist() for r in units.orderBy("doc_id").collect()] == [x.tolist() for x in ids]
         found, wanted = lm_scoring.train_model(units, start, n), recurrent.train(start, ids)
@@ -506,3 +506,119 @@ def test_pipeline_applies_each_decision(spark, sf_dir):
             assert {r.doc_id for r in kept.collect()} == wanted
     last = corpus_pipeline.STAGES[-1][1](spark, kept, sf_dir)
     assert last.filter("round_trip").count() == kept.count()
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, sf_dir, awkward):
+    """Nulls, empty, giant and repeated rows, null and repeated ids, clashing columns; and nothing at all."""
+    import corpus_pipeline
+
+    twice = awkward.unionByName(awkward.filter("doc_id > 7")).unionByName(awkward.filter("doc_id = 9").withColumn("doc_id", F.lit(None).cast("long")))
+    for docs in (twice, empty(awkward)):
+        kept = docs
+        for name, stage in corpus_pipeline.STAGES[1:-1]:
+            before, kept = kept, corpus_pipeline.materialize(stage(spark, kept, sf_dir), name)
+            assert kept.columns == docs.columns
+            if name == "exact_dedup":
+                assert sorted(brute.SPACE.sub("", r.text or "") for r in kept.collect()) == sorted({brute.SPACE.sub("", r.text or "") for r in before.collect()})
+            if name == "mixing":
+                assert kept.count() <= 3 * before.count() and (kept.count() > 0) == (before.count() > 0)
+        last = corpus_pipeline.STAGES[-1][1](spark, kept, sf_dir)
+        assert last.filter("round_trip").count() == kept.count()
+        assert corpus_pipeline.STAGES[0][1](spark, docs, sf_dir).columns == docs.columns
+
+
+def test_quality_scores_equal_a_plain_evaluation(spark, sf_dir):
+    """The compiled column against the rules one by one, over a whole table."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    found = quality.with_statistics(docs.select("doc_id", "text"), ["doc_id"]).persist()
+    model = quality.train(found, labels)
+    assert model.rules
+    scores = {r.doc_id: r.score for r in QUERIES["op4_quality_rules"](spark, sf_dir).collect()}
+    for r in docs.collect():
+        x = np.array(quality.statistics_of((r.text or "").encode()))
+        margin = model.intercept
+        for path, weight in model.rules:
+            margin += weight * all(x[f] <= t if left else x[f] > t for f, t, left in path)
+        assert scores[r.doc_id] == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-9)
+
+
+def plain_url(url):
+    """host, path and rule of a URL, by the contract."""
+    if url is None or "://" not in url:
+        return "", "", None
+    rest = url.split("://", 1)[1]
+    host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+    after = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+    host = brute.lower(host)
+    fits = [(len(r), r) for _, r in urls.RULES for h, _, p in [r.partition("/")] if (host == h or host.endswith("." + h)) and after.startswith("/" + p)]
+    return host, after, max(fits)[1] if fits else None
+
+
+def test_url_query_equals_a_plain_version(spark, sf_dir):
+    """Host, path, rule and verdict over all pages; of those without a rule, by the trees one by one."""
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    rows = by_id(QUERIES["op9_url_filter"](spark, sf_dir))
+    verdicts = {r: v for v, r in urls.RULES}
+    assert rows.keys() == pages.keys()
+    for i, url in pages.items():
+        host, path, rule = plain_url(url)
+        assert (rows[i].host, rows[i].path, rows[i].rule) == (host, path, rule)
+        assert rows[i].verdict == (verdicts[rule] if rule else "block" if rows[i].score > 0.5 else "allow")
+
+
+def test_large_buckets_stay_linear(spark):
+    """Members that are all apart, but for one band, don't meet in every block; a pair that agrees on two bands does."""
+    rng = np.random.default_rng(8)
+    n = 4 * near_dedup.BLOCK
+    registers = rng.integers(0, 60_000, (n, near_dedup.REGISTERS)).astype(np.uint16)
+    registers[:, : near_dedup.ROWS] = 7
+    registers[1] = registers[0]
+    rows = [(1, 0, n, 0, i, i, 100, bytearray(registers[i].tobytes())) for i in range(n)]
+    members = spark.createDataFrame(rows, "bucket long, band int, size long, main long, id long, component long, n_shingles long, registers binary")
+    seats = near_dedup.seated(near_dedup.split_hot(members))
+    assert seats.count() < 400
+    agree = np.zeros((1, near_dedup.REGISTERS), bool)
+    agree[0, [0, 1, 2, 3, 8, 9, 10, 11]] = True
+    bands = near_dedup.BANDS
+    assert near_dedup.met_first(agree.copy(), 0)[0] and not near_dedup.met_first(agree.copy(), 2)[0] and near_dedup.met_first(agree.copy(), bands + 2)[0] and not near_dedup.met_first(agree.copy(), 3 * bands)[0]
+
+
+def test_many_maps_give_the_same_groups(spark):
+    rows = [(i, f"text {i % 700}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = (by_id(exact_dedup.exact_groups(docs, max_bits=b)) for b in (1 << 22, 1 << 12))
+    assert exact_dedup.parts_of(1000, 1 << 12) == 4 and one == many and sum(not r.kept for r in one.values()) == 300
+
+
+def test_batch_bounds_are_read_in_any_unit(spark):
+    from quarry.llm.common import small_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    for given, wanted in (("64m", f"{4 << 20}b"), ("1m", "1m"), (f"{9 << 20}b", f"{4 << 20}b")):
+        spark.conf.set(key, given)
+        small_batches(spark)
+        assert spark.conf.get(key) == wanted
+    spark.conf.set(key, before)
+
+
+def test_long_conversations_are_linear(spark):
+    rows = [(1, i, "assistant" if i == 5999 else "user", f"t{i}") for i in range(6000)]
+    made = chat.prefix_targets(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("head", F.lit("clash")))
+    found = chat.read_back(made).first()
+    assert (found.n_turns, found.n_examples, found.loss_chars) == (6000, 1, 5)
+
+
+def test_word_hashes_are_of_words_alone(texts):
+    """Whatever stands around a word, and wherever a text is cut: long words, long texts, other white space, other scripts."""
+    from quarry.llm import words
+
+    cases = [t.encode() for t in texts[0].values()] + [t.encode() for t in TEXTS if t] + [b"", b" \n", b"A\x0bb", b"a" * 5000 + b" b", b"x" * 3_000_000, b" ".join([b"y" * 2_500_000, b"z", b"y" * 2_500_000]), b"w " * 700_000]
+    plain = [t.lower().split() for t in cases]
+    found, offsets = words.hashed_words(cases)
+    assert np.diff(offsets).tolist() == [len(p) for p in plain]
+    seen = {}
+    for word, h in zip((w for p in plain for w in p), found.tolist(), strict=True):
+        assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen)
+    assert words.hashed_words([])[1].tolist() == [0] and lm_scoring.tokens([b"", b"a b"])[1].tolist() == [0, 1, 4]
