@@ -23,6 +23,9 @@ MODULE_TYPES = {
 }
 
 
+FORM_MODULE = "МодульФормы"
+
+
 @F.pandas_udf(StringType())
 def decode_name(names: pd.Series) -> pd.Series:
     """``#Uhhhh`` stands for one character of a name."""
@@ -48,29 +51,51 @@ def _named(values: dict[str, str], key: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[key]
 
 
-def module_files(spark: SparkSession, root: str, glob: str = "*.bsl") -> DataFrame:
-    """relative_path, object_kind, object_name, form_name, module_type, file_size, mtime, file_hash, text of each module.
+def relative_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """relative_path, content, length and modificationTime of the files below ``root`` whose names fit ``glob``.
 
-    Files are listed and read by Spark's binary source, one task for a group of files. A file under no known folder is a
-    module of the configuration itself; an unknown file name has a null type. Spark's source leaves out empty files.
+    Files are listed and read by Spark's binary source, one task for a group of files. Spark's source leaves out empty files.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     full = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
-    relative = F.expr(f"substring(path, locate('{full}/', path) + {len(full) + 1})")
+    # The part of the path after the root, wherever the scheme ends; the root is a literal, whatever it holds.
+    start = F.locate(f"{full}/", F.col("path"))
+    return files.select(F.substring("path", start + len(full) + 1, F.length("path")).alias("relative_path"), "content", "length", "modificationTime")
+
+
+def module_files(spark: SparkSession, root: str, glob: str = "*.bsl") -> DataFrame:
+    """relative_path, object_kind, object_name, form_name, module_type, full_name, form_xml_path, file_size, mtime, file_hash, text.
+
+    A file under no known folder is a module of the configuration itself; an unknown file name is its own type.
+    form_xml_path is where the form of a form's module is described, relative as well. The hash is of the file alone.
+    """
+    files = relative_files(spark, root, glob)
     part = lambda i: F.get("parts", F.lit(i))
     known = part(0).isin(*KINDS)
+    in_form = F.col("relative_path").rlike(r"/Ext/Form/Module\.bsl$")
     form = F.when(part(2) == "Forms", part(3)).when(part(0) == "CommonForms", part(1))
-    found = files.select(relative.alias("relative_path"), F.col("length").alias("file_size"), F.col("modificationTime").alias("mtime"), F.md5("content").alias("file_hash"), decode_text("content").alias("text"))
+    found = files.select("relative_path", F.col("length").alias("file_size"), F.col("modificationTime").alias("mtime"), F.md5("content").alias("file_hash"), decode_text("content").alias("text"))
     found = found.withColumn("parts", F.split("relative_path", "/"))
-    return found.select(
+    last = F.element_at("parts", -1)
+    kind = F.when(known, _named(KINDS, part(0))).otherwise("Конфигурация")
+    type_ = F.when(known & in_form, FORM_MODULE).otherwise(F.coalesce(_named(MODULE_TYPES, last), F.regexp_replace(last, r"\.[^.]*$", "")))
+    rows = found.select(
         "relative_path",
-        F.when(known, _named(KINDS, part(0))).otherwise("Конфигурация").alias("object_kind"),
+        kind.alias("object_kind"),
         decode_name(F.when(known, part(1)).otherwise("")).alias("object_name"),
         decode_name(F.when(known, form)).alias("form_name"),
-        _named(MODULE_TYPES, F.element_at("parts", -1)).alias("module_type"),
+        type_.alias("module_type"),
+        F.when(known & in_form, F.regexp_replace("relative_path", r"/Form/Module\.bsl$", "/Form.xml")).alias("form_xml_path"),
         "file_size", "mtime", "file_hash", "text",
     )
+    whole = (
+        F.when(F.col("object_name") == "", F.concat_ws(".", "object_kind", "module_type"))
+        .when((F.col("module_type") == FORM_MODULE) & (F.col("object_kind") == KINDS["CommonForms"]), F.concat_ws(".", "object_kind", "object_name"))
+        .when(F.col("module_type") == FORM_MODULE, F.concat_ws(".", "object_kind", "object_name", F.lit("Форма"), "form_name"))
+        .otherwise(F.concat_ws(".", "object_kind", "object_name", "module_type"))
+    )
+    return rows.withColumn("full_name", whole)
 
 
 def line_range(text: Column, first: int, last: int) -> Column:
