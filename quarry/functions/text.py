@@ -37,35 +37,75 @@ def html_text(html: Column) -> Column:
 
 def type_parts(types: Column) -> Column:
     """The members of a composite type, split at commas outside parentheses."""
-    return F.transform(F.regexp_extract_all(types, F.lit(r"([^,(]+(?:\([^)]*\))?)"), F.lit(1)), lambda x: F.trim(x))
+    inner = r"(?:[^()]|\((?:[^()]|\([^()]*\))*\))"
+    return F.filter(F.transform(F.regexp_extract_all(types, F.lit(rf"((?:(?!,){inner})+)"), F.lit(1)), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def type_targets(types: Column) -> Column:
+    """The members of a composite type as (head, target, arguments): CatalogRef.Items is (CatalogRef, Items, null)."""
+    parts = type_parts(types)
+    head = lambda p: F.regexp_extract(p, r"^([^.(]+)", 1)
+    target = lambda p: F.regexp_extract(p, r"^[^.(]+\.([^(]+)", 1)
+    inside = lambda p: F.regexp_extract(p, r"\((.*)\)$", 1)
+    none = lambda x: F.when(x != "", F.trim(x))
+    return F.transform(parts, lambda p: F.struct(F.trim(head(p)).alias("head"), none(target(p)).alias("target"), none(inside(p)).alias("arguments")))
+
+
+def refers_to(types: Column, kind: str, name: str) -> Column:
+    """Whether a composite type has a member that refers to the object: of the kind's reference type, by its name."""
+    return F.exists(type_targets(types), lambda t: t["head"].isin(f"{kind}Ref", f"{kind}Ссылка", kind) & F.coalesce(F.lower(t["target"]) == name.lower(), F.lit(False)))
+
+
+#: Kinds of objects in the text of a query, in both languages: fixed values of the query language.
+QUERY_KINDS = {
+    "регистрнакопления": "РегистрНакопления", "регистрсведений": "РегистрСведений", "регистрбухгалтерии": "РегистрБухгалтерии", "регистррасчета": "РегистрРасчета", "документ": "Документ",
+    "справочник": "Справочник", "плансчетов": "ПланСчетов", "планвидовхарактеристик": "ПланВидовХарактеристик", "планвидоврасчета": "ПланВидовРасчета", "перечисление": "Перечисление",
+    "журналдокументов": "ЖурналДокументов", "accumulationregister": "РегистрНакопления", "informationregister": "РегистрСведений", "accountingregister": "РегистрБухгалтерии",
+    "calculationregister": "РегистрРасчета", "document": "Документ", "catalog": "Справочник", "chartofaccounts": "ПланСчетов", "chartofcharacteristictypes": "ПланВидовХарактеристик",
+    "chartofcalculationtypes": "ПланВидовРасчета", "enum": "Перечисление", "documentjournal": "ЖурналДокументов",
+}
+
+
+def query_references(query: Column) -> Column:
+    """The objects that a query's text names, as Kind.Name, sorted, each once in any case; fields and virtual tables are cut off."""
+    names = F.regexp_extract_all(query, F.lit(r"(?iu)(?<![\p{L}\p{N}_.])((?:%s)\.[\p{L}\p{N}_]+)" % "|".join(QUERY_KINDS)), F.lit(1))
+    kinds = F.create_map(*[F.lit(x) for pair in QUERY_KINDS.items() for x in pair])
+    full = F.transform(names, lambda n: F.concat_ws(".", kinds[F.lower(F.substring_index(n, ".", 1))], F.substring_index(n, ".", -1)))
+    keyed = F.transform(full, lambda n: F.struct(F.lower(n).alias("key"), n.alias("name")))
+    first = F.map_from_entries(F.transform(F.array_distinct(F.transform(keyed, lambda x: x["key"])), lambda k: F.struct(k, F.array_min(F.transform(F.filter(keyed, lambda x: x["key"] == k), lambda x: x["name"])))))
+    return F.array_sort(F.map_values(first))
 
 
 def version_parts(version: Column) -> Column:
-    """A version as an array of numbers, which compares as versions do."""
-    return F.transform(F.split(version, r"\."), lambda x: x.cast("int"))
+    """A version as an array of numbers, which compares as versions do; a part that is no number counts as zero."""
+    return F.transform(F.split(version, r"\."), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
 
 
-def chunk_lines(text: Column, limit: int) -> Column:
-    """The lines of a text in pieces of at most ``limit`` characters: array of (first, last, chars), lines from 1.
+def chunk_lines(lines: Column, limit: int) -> Column:
+    """An array of lines in pieces of at most ``limit`` characters, line ends counted: array of (first, last, chars, text).
 
-    A piece ends before the line that would overflow it; a longer line is a piece by itself. No line is lost.
+    Lines count from 1. A piece ends before the line that would overflow it; a longer line is cut into parts that keep
+    its number. Nothing is lost. Sums run over lines in the order of the array; a piece is one slice of them, so lines
+    are not copied as a piece grows.
     """
-    lines = F.split(text, "\n", -1)
-    piece = "struct<first:int,last:int,chars:int>"
-    start = F.struct(F.lit(0).alias("line"), F.array().cast(f"array<{piece}>").alias("done"), F.lit(1).alias("first"), F.lit(0).alias("chars"))
-
-    def step(acc: Column, line: Column) -> Column:
-        n = F.length(line) + 1
-        overflow = (acc["chars"] > 0) & (acc["chars"] + n > limit)
-        closed = F.struct(acc["first"].alias("first"), acc["line"].alias("last"), acc["chars"].alias("chars"))
+    parts = F.flatten(F.transform(lines, lambda line, i: F.transform(F.when(line == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(line, F.lit("(?s).{1,%d}" % limit), F.lit(0))), lambda p: F.struct((i + 1).alias("line"), p.alias("text")))))
+    spot = "struct<from:int,count:int,chars:int>"
+    start = F.struct(F.array().cast(f"array<{spot}>").alias("done"), F.lit(0).alias("from"), F.lit(0).alias("count"), F.lit(0).alias("chars"))
+    closed = lambda acc: F.concat(acc["done"], F.array(F.struct(acc["from"].alias("from"), acc["count"].alias("count"), acc["chars"].alias("chars"))))
+
+    def step(acc: Column, part: Column) -> Column:
+        n = F.length(part["text"]) + 1
+        overflow = (acc["count"] > 0) & (acc["chars"] + n > limit)
         return F.struct(
-            (acc["line"] + 1).alias("line"),
-            F.when(overflow, F.concat(acc["done"], F.array(closed))).otherwise(acc["done"]).alias("done"),
-            F.when(overflow, acc["line"] + 1).otherwise(acc["first"]).alias("first"),
+            F.when(overflow, closed(acc)).otherwise(acc["done"]).alias("done"),
+            F.when(overflow, acc["from"] + acc["count"]).otherwise(acc["from"]).alias("from"),
+            F.when(overflow, 1).otherwise(acc["count"] + 1).alias("count"),
             F.when(overflow, n).otherwise(acc["chars"] + n).alias("chars"),
         )
 
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["done"], F.array(F.struct(acc["first"].alias("first"), acc["line"].alias("last"), acc["chars"].alias("chars"))))
+    def piece(all_: Column, s: Column) -> Column:
+        mine = F.slice(all_, s["from"] + 1, s["count"])
+        return F.struct(F.element_at(mine, 1)["line"].alias("first"), F.element_at(mine, -1)["line"].alias("last"), s["chars"].alias("chars"), F.array_join(F.transform(mine, lambda x: x["text"]), "\n").alias("text"))
 
-    return F.aggregate(lines, start, step, finish)
+    whole = F.transform(F.array(parts), lambda all_: F.transform(F.aggregate(all_, start, step, lambda acc: F.when(acc["count"] > 0, closed(acc)).otherwise(acc["done"])), lambda s: piece(all_, s)))
+    return F.get(whole, F.lit(0))
