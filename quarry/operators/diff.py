@@ -1,4 +1,4 @@
-"""Snapshot diff, three-way conflicts, incremental maintenance."""
+"""Status of rows between two snapshots, last versions, upserts, unified diffs of texts."""
 
 from __future__ import annotations
 
@@ -18,24 +18,6 @@ def status(old: DataFrame, new: DataFrame, keys: list[str], compared: list[str])
     return a.join(b, keys, "full_outer").withColumn("status", state).filter("status is not null").select(*keys, "status")
 
 
-def totals(changes: DataFrame) -> DataFrame:
-    """One row of counters."""
-    return changes.agg(*[F.count(F.when(F.col("status") == s, 1)).alias(s) for s in ("added", "removed", "changed")])
-
-
-def conflicts(ours: DataFrame, theirs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, conflict: what both sides touched since the common base, by kind."""
-    a, b = ours.withColumnRenamed("status", "us"), theirs.withColumnRenamed("status", "them")
-    kind = (
-        F.when((F.col("us") == "changed") & (F.col("them") == "changed"), "both_changed")
-        .when((F.col("us") == "added") & (F.col("them") == "added"), "name_clash")
-        .when((F.col("us") == "removed") & (F.col("them") == "changed"), "removed_by_you")
-        .when((F.col("us") == "changed") & (F.col("them") == "removed"), "removed_by_them")
-        .when((F.col("us") == "removed") & (F.col("them") == "removed"), "both_removed")
-    )
-    return a.join(b, keys).withColumn("conflict", kind).filter("conflict is not null").select(*keys, "conflict")
-
-
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last version of each key, by partial aggregation and not by sorting each key's history."""
     rest = [c for c in rows.columns if c not in keys]
@@ -47,19 +29,6 @@ def upsert(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(changes, keys, "left_anti").unionByName(changes)
 
 
-def manifest_changes(before: DataFrame, now: DataFrame, key: str) -> DataFrame:
-    """key, action: files to parse (size or time differ and the digest too), to touch (digest equal), to delete."""
-    a = before.select(key, F.col("stat").alias("stat0"), F.col("digest").alias("digest0"))
-    action = (
-        F.when(F.col("stat0").isNull(), "new")
-        .when(F.col("stat").isNull(), "delete")
-        .when(F.col("stat") == F.col("stat0"), "skip")
-        .when(F.col("digest") == F.col("digest0"), "touch")
-        .otherwise("parse")
-    )
-    return a.join(now.select(key, "stat", "digest"), key, "full_outer").select(key, action.alias("action"))
-
-
 @F.pandas_udf(StringType())
 def unified_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     """The unified diff of two texts with three lines of context; empty where they are equal; null counts as empty."""
@@ -71,5 +40,6 @@ def unified_diff(old: pd.Series, new: pd.Series) -> pd.Series:
 
 
 def text_status(old: Column, new: Column) -> Column:
-    """same, changed, added, removed, or missing where neither side has a text."""
-    return F.when(old.isNull() & new.isNull(), "missing").when(old.isNull(), "added").when(new.isNull(), "removed").when(old == new, "same").otherwise("changed")
+    """same, changed, added, removed, missing where neither side has a text, or unreadable where one holds a replacement mark."""
+    bad = lambda c: F.coalesce(c.contains("\ufffd"), F.lit(False))
+    return F.when(bad(old) | bad(new), "unreadable").when(old.isNull() & new.isNull(), "missing").when(old.isNull(), "added").when(new.isNull(), "removed").when(old == new, "same").otherwise("changed")
