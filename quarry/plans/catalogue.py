@@ -6,40 +6,23 @@ Roles: ``part`` holds procedures (brand = module), ``lineitem`` calls (a part ca
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import source_code
 from quarry.functions import text as T
 from quarry.operators import diff, graph, metrics, search
+from quarry.plans.registry import ORACLE_SQL, QUERIES, entry, read
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def entry(sql: str | None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 # -- search over names ------------------------------------------------------------------------------------------------
 
 
-@entry("SELECT p_partkey, p_name, p_brand, lower(p_name) = 'ring' AS exact FROM part WHERE contains(lower(p_name), 'ring') AND p_size >= 5 ORDER BY exact DESC, length(p_name), p_name, p_partkey LIMIT 30")
+@entry("SELECT p_partkey, p_name, p_brand, lower(p_name) = 'ring' AS exact FROM part WHERE contains(lower(p_name), 'ring') ORDER BY exact DESC, length(p_name), p_name, p_partkey LIMIT 30")
 def search_substring_exact_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read(spark, sf_dir, "part").filter("p_size >= 5").select("p_partkey", "p_name", "p_brand")
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     return search.page(search.exact_first(part, "p_name", "ring", "p_partkey"), 30)
 
 
@@ -64,15 +47,6 @@ def prefix_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.prefix_fallback(read(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "ringer").select("p_partkey", "p_name", "prefix")
 
 
-KIND_ALIASES = {"machines": "MACHINERY", "machinery": "MACHINERY", "house": "HOUSEHOLD"}
-
-
-@entry("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_mktsegment = 'MACHINERY'")
-def kind_alias_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = KIND_ALIASES.get("Machines".lower(), "Machines")
-    return read(spark, sf_dir, "customer").filter(F.col("c_mktsegment") == kind).select("c_custkey", "c_name", "c_mktsegment")
-
-
 @entry("SELECT c_custkey, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 ORDER BY c_name, c_custkey LIMIT 21 OFFSET 20")
 def list_objects_paged(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"))
@@ -139,19 +113,6 @@ def top_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls(spark, sf_dir).filter("callee is null").join(part, "caller").groupBy("name", "brand").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name", "brand").limit(20)
 
 
-@entry(f"""
-    WITH {CALLS_SQL}, g AS (
-        SELECT CASE WHEN s_acctbal < 0 THEN 'missing' WHEN p_size > 25 THEN 'not_export' ELSE 'external' END AS cause, p_name AS name, count(*) AS n
-        FROM calls JOIN part ON caller = p_partkey LEFT JOIN supplier ON module = s_suppkey WHERE callee IS NULL GROUP BY 1, 2)
-    SELECT cause, name, n, rn FROM (SELECT *, CAST(row_number() OVER (PARTITION BY cause ORDER BY n DESC, name) AS INTEGER) AS rn FROM g) WHERE rn <= 5""")
-def unresolved_breakdown_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("caller"), F.col("p_name").alias("name"), "p_size")
-    supplier = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("module"), "s_acctbal")
-    cause = F.when(F.col("s_acctbal") < 0, "missing").when(F.col("p_size") > 25, "not_export").otherwise("external")
-    grouped = calls(spark, sf_dir).filter("callee is null").join(part, "caller").join(supplier, "module", "left").groupBy(cause.alias("cause"), "name").agg(F.count(F.lit(1)).alias("n"))
-    return search.top_per_group(grouped, ["cause"], [F.desc("n"), F.col("name")], 5)
-
-
 @entry(f"""
     WITH {CALLS_SQL}
     SELECT module, count(*) AS calls, count(DISTINCT callee) AS methods, count(DISTINCT caller) AS callers, min(line * 10000000 + order_id) AS first_site FROM calls GROUP BY 1""")
@@ -160,23 +121,6 @@ def external_modules_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls(spark, sf_dir).groupBy("module").agg(F.count(F.lit(1)).alias("calls"), F.countDistinct("callee").alias("methods"), F.countDistinct("caller").alias("callers"), first.alias("first_site"))
 
 
-@entry(f"""
-    WITH {CALLS_SQL}, cand AS (
-        SELECT order_id, line, caller, qty, price, p.p_partkey AS target, 'exact' AS confidence, 0 AS tier FROM calls JOIN part p ON callee = p.p_partkey WHERE kind = 'A'
-        UNION ALL
-        SELECT order_id, line, caller, qty, price, m.target, 'name_only', 1 FROM calls JOIN part p ON callee = p.p_partkey JOIN (SELECT p_name, min(p_partkey) AS target FROM part GROUP BY 1) m ON p.p_name = m.p_name)
-    SELECT c.order_id, c.line, c.caller, b.target, b.confidence FROM calls c LEFT JOIN (
-        SELECT order_id, line, caller, qty, price, arg_min(target, tier * 1000000000 + target) AS target, arg_min(confidence, tier * 1000000000 + target) AS confidence FROM cand GROUP BY ALL) b
-    ON c.order_id = b.order_id AND c.line = b.line AND c.caller = b.caller AND c.qty = b.qty AND c.price = b.price""")
-def resolve_calls_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = calls(spark, sf_dir).withColumn("key", F.struct("order_id", "line", "caller", "qty", "price"))
-    part = read(spark, sf_dir, "part")
-    exact = rows.filter("kind = 'A'").join(part.select(F.col("p_partkey").alias("callee")), "callee").select("key", F.col("callee").alias("target"))
-    first = part.groupBy("p_name").agg(F.min("p_partkey").alias("target"))
-    by_name = rows.join(part.select(F.col("p_partkey").alias("callee"), "p_name"), "callee").join(first, "p_name").select("key", "target")
-    return graph.resolve(rows, "key", [("exact", exact), ("name_only", by_name)], [F.col("target")]).select("order_id", "line", "caller", "target", "confidence")
-
-
 def _tree(spark: SparkSession, sf_dir: str, up: bool) -> DataFrame:
     ends = ("callee", "caller") if up else ("caller", "callee")
     edges = calls(spark, sf_dir).filter("callee is not null").select(F.col(ends[0]).alias("src"), F.col(ends[1]).alias("dst")).distinct()
@@ -199,136 +143,7 @@ def call_tree_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree(spark, sf_dir, True)
 
 
-@entry("""
-    WITH RECURSIVE refs AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 7) % 150 AS dst FROM orders WHERE o_custkey <> (o_orderkey * 7) % 150),
-    walk AS (SELECT 7::BIGINT AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM walk JOIN refs ON src = node WHERE depth < 2)
-    SELECT node, min(depth) AS depth FROM walk GROUP BY 1""")
-def reference_graph_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") * 7 % 150).alias("dst")).filter("src != dst").distinct()
-    return graph.traverse(refs, spark.range(7, 8).select(F.col("id").alias("node")), 2)
-
-
-@entry("""
-    WITH r AS (SELECT p_brand, p_partkey, p_size AS a, p_size + 9 AS b FROM part WHERE p_partkey % 3 = 0),
-    j AS (SELECT p.p_partkey AS site, r.p_partkey AS target, row_number() OVER (PARTITION BY p.p_partkey ORDER BY r.a DESC, r.p_partkey) AS rn FROM part p JOIN r ON p.p_brand = r.p_brand AND p.p_size BETWEEN r.a AND r.b)
-    SELECT site, target FROM j WHERE rn = 1""")
-def line_to_procedure_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read(spark, sf_dir, "part")
-    points = part.select("p_brand", F.col("p_partkey").alias("site"), F.col("p_size").alias("at"))
-    ranges = part.filter("p_partkey % 3 = 0").select("p_brand", F.col("p_partkey").alias("target"), F.col("p_size").alias("a"), (F.col("p_size") + 9).alias("b"))
-    return graph.enclosing(points, ranges, "p_brand", "at", "a", "b", "target").select("site", "target")
-
-
-@entry(f"""
-    WITH {CALLS_SQL}, j AS (
-        SELECT CASE WHEN p.p_partkey IS NULL THEN 'external' WHEN p.p_size < 10 THEN 'missing' WHEN p.p_size > 40 AND c.module % 2 = 1 THEN 'not_export' END AS problem, c.module, p.p_brand AS brand
-        FROM calls c LEFT JOIN part p ON c.callee = p.p_partkey)
-    SELECT problem, count(*) AS n, count(DISTINCT module) AS modules, array_to_string(list_sort(list_distinct(list(brand)))[1:3], ',') AS hints FROM j WHERE problem IS NOT NULL GROUP BY 1""")
-def broken_calls_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("callee"), "p_size", F.col("p_brand").alias("brand"))
-    problem = F.when(F.col("p_size").isNull(), "external").when(F.col("p_size") < 10, "missing").when((F.col("p_size") > 40) & (F.col("module") % 2 == 1), "not_export")
-    rows = calls(spark, sf_dir).join(part, "callee", "left").withColumn("problem", problem).filter("problem is not null")
-    hints = F.array_join(F.slice(F.array_sort(F.collect_set("brand")), 1, 3), ",")
-    return rows.groupBy("problem").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("module").alias("modules"), hints.alias("hints"))
-
-
-# -- full text --------------------------------------------------------------------------------------------------------
-
-TOKENS_SQL = r"""toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([\p{L}\p{N}_]+)', 1)) AS token FROM documents),
-    post AS (SELECT doc_id, token, count(*) AS tf FROM toks GROUP BY 1, 2), len AS (SELECT doc_id, sum(tf) AS len FROM post GROUP BY 1)"""
-BM25_SQL = (
-    TOKENS_SQL
-    + """, terms AS (SELECT unnest(['tion', 'ring', 'wor']) AS term),
-    f AS (SELECT doc_id, term, sum(tf) AS f FROM post JOIN terms ON starts_with(token, term) GROUP BY 1, 2), n AS (SELECT term, count(*) AS n FROM f GROUP BY 1),
-    k AS (SELECT count(*) AS total, avg(len) AS mean FROM len),
-    scored AS (SELECT doc_id, sum(greatest(ln((total - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean))) AS score FROM f JOIN n USING (term) JOIN len USING (doc_id), k GROUP BY 1)"""
-)
-TERMS = ["tion", "ring", "wor"]
-
-
-def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.postings(read(spark, sf_dir, "documents"), "doc_id", {"text": "text"})
-
-
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post = _postings(spark, sf_dir)
-    found = search.hits(post, search.vocabulary(post, "doc_id"), "doc_id", TERMS)
-    return search.bm25(found, post.groupBy("doc_id").agg(F.sum("tf").alias("len")), "doc_id", {"text": 1.0})
-
-
-@entry(f"WITH {TOKENS_SQL} SELECT token, count(*) AS df FROM post GROUP BY 1")
-def tokens_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.vocabulary(_postings(spark, sf_dir), "doc_id")
-
-
-@entry(f"WITH {TOKENS_SQL}, terms AS (SELECT unnest(['tion', 'ring']) AS term) SELECT doc_id, CAST(sum(tf) AS BIGINT) AS hits FROM post JOIN terms ON starts_with(token, term) GROUP BY 1 HAVING count(DISTINCT term) = 2")
-def fts_and_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post = _postings(spark, sf_dir)
-    return search.match_all(search.hits(post, search.vocabulary(post, "doc_id"), "doc_id", ["tion", "ring"]), "doc_id", 2)
-
-
-@entry(f"WITH {BM25_SQL} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(score, 6) DESC, doc_id LIMIT 50")
-def bm25_prefix_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
-
-
-@entry(r"""
-    WITH toks AS (SELECT p_partkey, 'name' AS field, unnest(regexp_extract_all(lower(p_name), '([\p{L}\p{N}_]+)', 1)) AS token FROM part
-                  UNION ALL SELECT p_partkey, 'type', unnest(regexp_extract_all(lower(p_type), '([\p{L}\p{N}_]+)', 1)) FROM part),
-    len AS (SELECT p_partkey, count(*) AS len FROM toks GROUP BY 1), terms AS (SELECT unnest(['red', 'pro', 'small']) AS term),
-    f AS (SELECT p_partkey, term, sum(CASE field WHEN 'name' THEN 10.0 ELSE 2.0 END) AS f FROM toks JOIN terms ON starts_with(token, term) GROUP BY 1, 2), n AS (SELECT term, count(*) AS n FROM f GROUP BY 1),
-    k AS (SELECT count(*) AS total, avg(len) AS mean FROM len)
-    SELECT p_partkey, round(sum(greatest(ln((total - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
-    FROM f JOIN n USING (term) JOIN len USING (p_partkey), k GROUP BY 1""")
-def bm25_weighted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post = search.postings(read(spark, sf_dir, "part"), "p_partkey", {"name": "p_name", "type": "p_type"})
-    found = search.hits(post, search.vocabulary(post, "p_partkey"), "p_partkey", ["red", "pro", "small"])
-    scored = search.bm25(found, post.groupBy("p_partkey").agg(F.sum("tf").alias("len")), "p_partkey", {"name": 10.0, "type": 2.0})
-    return scored.select("p_partkey", F.round("score", 6).alias("score"))
-
-
-@entry(f"WITH {TOKENS_SQL}, terms AS (SELECT unnest(['the', 'tion', 'ring', 'wor', 'a']) AS term), d AS (SELECT term, count(DISTINCT doc_id) AS df FROM post JOIN terms ON starts_with(token, term) GROUP BY 1), t AS (SELECT count(*) AS total FROM len) SELECT term, df, df * 2 > total AS common, CAST(row_number() OVER (ORDER BY df, term) AS INTEGER) AS rarity FROM d, t")
-def common_term_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post, terms = _postings(spark, sf_dir), ["the", "tion", "ring", "wor", "a"]
-    df = search.hits(post, search.vocabulary(post, "doc_id"), "doc_id", terms).groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
-    total = post.agg(F.countDistinct("doc_id").alias("total"))
-    # A row for each query term, and one row.
-    return df.crossJoin(F.broadcast(total)).select("term", "df", (F.col("df") * 2 > F.col("total")).alias("common"), F.row_number().over(Window.orderBy("df", "term")).alias("rarity"))
-
-
-@entry(f"""
-    WITH {BM25_SQL}, cand AS (
-        SELECT doc_id, 0 AS tier, doc_id::DOUBLE AS pos FROM documents WHERE source = 'src3' AND contains(lower(text), 'tion')
-        UNION ALL SELECT doc_id, 1, length(text)::DOUBLE FROM documents WHERE contains(lower(text), 'tion') AND contains(lower(text), 'ring')
-        UNION ALL SELECT doc_id, 2, -round(score, 6) FROM scored), m AS (SELECT doc_id, min(tier) AS tier FROM cand GROUP BY 1)
-    SELECT m.doc_id, m.tier, min(pos) AS pos FROM m JOIN cand c ON m.doc_id = c.doc_id AND m.tier = c.tier GROUP BY 1, 2 ORDER BY tier, pos, doc_id LIMIT 200""")
-def search_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    exact = docs.filter(F.col("source") == "src3").filter(search.contains_all(F.col("text"), ["tion"])).select("doc_id", F.col("doc_id").alias("pos"))
-    both = docs.filter(search.contains_all(F.col("text"), ["tion", "ring"])).select("doc_id", F.length("text").alias("pos"))
-    ranked = _scored(spark, sf_dir).select("doc_id", (-F.round("score", 6)).alias("pos"))
-    return search.cascade([exact, both, ranked], "doc_id").orderBy("tier", "pos", "doc_id").limit(200)
-
-
-@entry(f"""
-    WITH {BM25_SQL}
-    SELECT doc_id, round((-coalesce(score, 0) + 0.5 * coalesce(-quality, 0) - CASE WHEN contains(lower(text), 'tion') AND contains(lower(text), 'ring') THEN 12 ELSE 0 END) * CASE WHEN lang = 'en' THEN 1.3 ELSE 1.0 END, 5) AS rank
-    FROM documents LEFT JOIN scored USING (doc_id) LEFT JOIN labels USING (doc_id) WHERE score IS NOT NULL OR quality = 1""")
-def rank_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "documents").join(_scored(spark, sf_dir), "doc_id", "left").join(read(spark, sf_dir, "labels"), "doc_id", "left").filter("score is not null or quality = 1")
-    name = F.when(search.contains_all(F.col("text"), ["tion", "ring"]), 12).otherwise(0)
-    rank = (-F.coalesce("score", F.lit(0.0)) + 0.5 * F.coalesce(-F.col("quality"), F.lit(0)) - name) * F.when(F.col("lang") == "en", 1.3).otherwise(1.0)
-    return rows.select("doc_id", F.round(rank, 5).alias("rank"))
-
-
-@entry(f"""
-    WITH {CALLS_SQL}, callers AS (SELECT callee AS p_partkey, count(DISTINCT caller) AS callers FROM calls WHERE callee IS NOT NULL GROUP BY 1)
-    SELECT p_partkey, round(p_retailprice * (1 + 0.15 * CASE WHEN p_size > 25 THEN 1 ELSE 0 END) * (1 + 0.03 * ln(1 + coalesce(callers, 0))), 4) AS boosted FROM part LEFT JOIN callers USING (p_partkey)""")
-def rank_popularity_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    callers = calls(spark, sf_dir).filter("callee is not null").groupBy(F.col("callee").alias("p_partkey")).agg(F.countDistinct("caller").alias("callers"))
-    boost = F.col("p_retailprice") * (1 + 0.15 * F.when(F.col("p_size") > 25, 1).otherwise(0)) * (1 + 0.03 * F.log1p(F.coalesce("callers", F.lit(0))))
-    return read(spark, sf_dir, "part").join(callers, "p_partkey", "left").select("p_partkey", F.round(boost, 4).alias("boosted"))
-
+# -- lines ---------------------------------------------------------------------------------------------------------------
 
 @entry("""
     WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line, string_split(text, chr(10)) AS lines FROM documents),
@@ -338,65 +153,8 @@ def code_search_context_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.matching_lines(read(spark, sf_dir, "documents"), "doc_id", "text", "ring", 5)
 
 
-@entry(f"""
-    WITH {TOKENS_SQL}, q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '([\\p{{L}}\\p{{N}}_]{{9,}})', 1))) AS token FROM benchmark),
-    s AS (SELECT item_id, doc_id, count(*) AS shared FROM q JOIN post USING (token) GROUP BY 1, 2),
-    r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS rank FROM s),
-    t AS (SELECT b.item_id, min(r.rank) FILTER (l.quality = 1) AS rank FROM benchmark b LEFT JOIN r ON b.item_id = r.item_id LEFT JOIN labels l ON r.doc_id = l.doc_id GROUP BY 1)
-    SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS hit1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS hit5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS hit10, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM t""")
-def eval_hit_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = read(spark, sf_dir, "benchmark")
-    q = items.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]{9,})"), F.lit(1)))).alias("token"))
-    shared = q.join(_postings(spark, sf_dir).select("doc_id", "token"), "token").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
-    ranked = shared.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("shared"), "doc_id")))
-    good = ranked.join(read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi").groupBy("item_id").agg(F.min("rank").alias("rank"))
-    return metrics.retrieval(items.select("item_id").join(good, "item_id", "left"), "rank")
-
-
 # -- snapshots --------------------------------------------------------------------------------------------------------
 
-SNAPSHOT_SQL = """a AS (SELECT o_orderkey, o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 11 <> 0),
-    b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 13 <> 0),
-    c AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'Y' ELSE o_orderstatus END AS o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 17 <> 0)"""
-STATUS_SQL = """SELECT coalesce(x.o_orderkey, y.o_orderkey) AS o_orderkey, CASE WHEN x.o_orderkey IS NULL THEN 'added' WHEN y.o_orderkey IS NULL THEN 'removed' ELSE 'changed' END AS status
-    FROM a x FULL JOIN {} y ON x.o_orderkey = y.o_orderkey WHERE x.o_orderkey IS NULL OR y.o_orderkey IS NULL OR x.o_orderstatus <> y.o_orderstatus"""
-
-
-def _snapshots(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
-    mark = lambda n, s: F.when(F.col("o_orderkey") % n == 0, s).otherwise(F.col("o_orderstatus"))
-    return [o.filter("o_orderkey % 11 != 0"), o.filter("o_orderkey % 13 != 0").withColumn("o_orderstatus", mark(7, "X")), o.filter("o_orderkey % 17 != 0").withColumn("o_orderstatus", mark(5, "Y"))]
-
-
-def _status(spark: SparkSession, sf_dir: str, other: int) -> DataFrame:
-    s = _snapshots(spark, sf_dir)
-    return diff.status(s[0], s[other], ["o_orderkey"], ["o_orderstatus"])
-
-
-@entry(f"WITH {SNAPSHOT_SQL} {STATUS_SQL.format('b')}")
-def diff_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _status(spark, sf_dir, 1)
-
-
-@entry(f"WITH {SNAPSHOT_SQL}, d AS ({STATUS_SQL.format('b')}) SELECT count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'removed') AS removed, count(*) FILTER (status = 'changed') AS changed FROM d")
-def diff_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.totals(_status(spark, sf_dir, 1))
-
-
-@entry(f"WITH {SNAPSHOT_SQL}, d AS ({STATUS_SQL.format('b')}) SELECT o_custkey, CAST(sum(CASE status WHEN 'changed' THEN 1 ELSE 3 END) AS BIGINT) AS weight FROM d JOIN orders USING (o_orderkey) GROUP BY 1")
-def diff_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weight = F.sum(F.when(F.col("status") == "changed", 1).otherwise(3))
-    return _status(spark, sf_dir, 1).join(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").groupBy("o_custkey").agg(weight.alias("weight"))
-
-
-@entry(f"""
-    WITH {SNAPSHOT_SQL}, u AS ({STATUS_SQL.format('b')}), t AS ({STATUS_SQL.format('c')})
-    SELECT * FROM (SELECT u.o_orderkey, CASE WHEN u.status = 'changed' AND t.status = 'changed' THEN 'both_changed' WHEN u.status = 'added' AND t.status = 'added' THEN 'name_clash' WHEN u.status = 'removed' AND t.status = 'changed' THEN 'removed_by_you'
-        WHEN u.status = 'changed' AND t.status = 'removed' THEN 'removed_by_them' WHEN u.status = 'removed' AND t.status = 'removed' THEN 'both_removed' END AS conflict FROM u JOIN t ON u.o_orderkey = t.o_orderkey) WHERE conflict IS NOT NULL""")
-def update_conflicts_3way(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.conflicts(_status(spark, sf_dir, 1), _status(spark, sf_dir, 2), ["o_orderkey"])
-
-
 EVENTS_SQL = """v AS (SELECT user_id, event_type, ts, value, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events {})"""
 
 
@@ -409,43 +167,9 @@ def latest_state_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.upsert(diff.latest(rows.filter(F.col("ts") < half), keys, order), changes, keys).select("user_id", "event_type", "event_id", "value")
 
 
-@entry("""
-    WITH a AS (SELECT event_id, value AS stat, event_type AS digest FROM events WHERE event_id % 9 <> 0),
-    b AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN value + 1 ELSE value END AS stat, CASE WHEN event_id % 8 = 0 THEN 'new' ELSE event_type END AS digest FROM events WHERE event_id % 10 <> 0)
-    SELECT coalesce(a.event_id, b.event_id) AS event_id, CASE WHEN a.event_id IS NULL THEN 'new' WHEN b.event_id IS NULL THEN 'delete' WHEN a.stat = b.stat THEN 'skip' WHEN a.digest = b.digest THEN 'touch' ELSE 'parse' END AS action FROM a FULL JOIN b ON a.event_id = b.event_id""")
-def incremental_changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").select("event_id", F.col("value").alias("stat"), F.col("event_type").alias("digest"))
-    now = e.filter("event_id % 10 != 0").withColumn("digest", F.when(F.col("event_id") % 8 == 0, "new").otherwise(F.col("digest"))).withColumn("stat", F.when(F.col("event_id") % 4 == 0, F.col("stat") + 1).otherwise(F.col("stat")))
-    return diff.manifest_changes(e.filter("event_id % 9 != 0"), now, "event_id")
-
-
 # -- objects and texts ------------------------------------------------------------------------------------------------
 
 
-@entry("SELECT o_orderkey, o_orderpriority, o_orderpriority = '2-HIGH' AS exact FROM orders WHERE contains(lower(o_orderpriority), 'h') AND o_custkey < 300 ORDER BY exact DESC, o_orderpriority, o_orderkey LIMIT 100")
-def find_references_exact_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "orders").filter("o_custkey < 300").filter(F.lower("o_orderpriority").contains("h"))
-    return rows.select("o_orderkey", "o_orderpriority", (F.col("o_orderpriority") == "2-HIGH").alias("exact")).orderBy(F.desc("exact"), "o_orderpriority", "o_orderkey").limit(100)
-
-
-@entry("""
-    WITH k AS (SELECT o_custkey, o_orderstatus || ':' || count(*) AS part, o_orderstatus FROM orders GROUP BY o_custkey, o_orderstatus)
-    SELECT c_custkey, c_name, coalesce(string_agg(part, ',' ORDER BY o_orderstatus), '') AS attributes, count(part) AS n FROM customer LEFT JOIN k ON c_custkey = o_custkey GROUP BY 1, 2""")
-def object_card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey"), "o_orderstatus").agg(F.count(F.lit(1)).alias("k"))
-    lists = counted.groupBy("c_custkey").agg(F.array_sort(F.collect_list(F.concat_ws(":", "o_orderstatus", F.col("k").cast("string")))).alias("parts"))
-    out = read(spark, sf_dir, "customer").join(lists, "c_custkey", "left")
-    return out.select("c_custkey", "c_name", F.array_join(F.coalesce("parts", F.array().cast("array<string>")), ",").alias("attributes"), F.coalesce(F.size("parts"), F.lit(0)).cast("long").alias("n"))
-
-
-@entry(r"""
-    WITH h AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="/([A-Za-z]+)"', 1))) AS name FROM pages)
-    SELECT name, count(*) AS used_by, min(page_id) AS first_page FROM h GROUP BY 1""")
-def knowledge_used_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="/([A-Za-z]+)"'), F.lit(1))))
-    return read(spark, sf_dir, "pages").select("page_id", names.alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("used_by"), F.min("page_id").alias("first_page"))
-
-
 @entry(r"""
     WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style|head)\b.*?</(script|style|head)>', ' ', 'g') AS t FROM pages),
     b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<br\s*/?>|</(p|div|li|tr|h[1-6]|table|ul|ol)>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g') AS t FROM a)
@@ -454,39 +178,6 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", T.html_text(F.col("html")).alias("body"))
 
 
-@entry(None)
-def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = T.chunk_lines(F.col("text"), 1500)
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(pieces).alias("chunks"), F.aggregate(pieces, F.lit(0), lambda a, p: F.greatest(a, p["chars"])).alias("longest"))
-
-
-@entry(None)
-def identifier_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(T.identifier_words(F.concat("s_name", F.lit("XMLPackage2Read"))), " ").alias("words"))
-
-
-@entry("""
-    WITH v(name, since) AS (VALUES ('a', '8.3.9'), ('b', '8.3.23'), ('c', '8.2'), ('d', '8.3.10.1'))
-    SELECT name, since, list_transform(string_split(since, '.'), lambda x: x::INTEGER) > [8, 3, 9] AS newer FROM v""")
-def version_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("a", "8.3.9"), ("b", "8.3.23"), ("c", "8.2"), ("d", "8.3.10.1")], "name string, since string")
-    return rows.select("name", "since", (T.version_parts(F.col("since")) > F.array(F.lit(8), F.lit(3), F.lit(9))).alias("newer"))
-
-
-GLOSSARY = (("red widget", ("crimson", "gadget")), ("hot ring", ("warm", "circle")))
-
-
-@entry("""
-    WITH g(target, words, score) AS (VALUES ('red widget', 'crimson gadget', 2))
-    SELECT p_partkey, p_name, CASE WHEN target IS NOT NULL THEN 0 ELSE 1 END AS tier FROM part LEFT JOIN g ON p_name = target WHERE target IS NOT NULL OR contains(p_name, 'gadget') ORDER BY tier, p_name, p_partkey LIMIT 100""")
-def glossary_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    query = ["crimson", "gadgets"]
-    # A term matches when each of its words shares a stem of four letters or more with a word of the query.
-    matched = [target for target, words in GLOSSARY if all(any(q[: max(4, len(w) - 1)] == w[: max(4, len(w) - 1)] for q in query) for w in words)]
-    rows = read(spark, sf_dir, "part").withColumn("tier", F.when(F.col("p_name").isin(matched), 0).when(F.col("p_name").contains("gadget"), 1))
-    return rows.filter("tier is not null").orderBy("tier", "p_name", "p_partkey").limit(100).select("p_partkey", "p_name", "tier")
-
-
 # -- module texts -----------------------------------------------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ sys.path.insert(0, str(Path(__file__).parent / "support"))
 import oracle  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
-from quarry.plans import catalogue  # noqa: E402
+from quarry.plans import registry  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -22,9 +22,9 @@ def test_same_rows_as_sql(name, spark, con, sf_dir):
     assert oracle.same(entry.queries()[name](spark, sf_dir), con, entry.oracle_sql()[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_runs(name, spark, sf_dir):
-    assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
+    assert registry.QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_flagship(spark):
