@@ -6,7 +6,7 @@
    an exponential scale of base ``BASE``, truncated to a byte. Registers of a union are the maxima of the registers.
 3. Bands of ``ROWS`` registers are the keys of buckets. A bucket offers the links from its members to one hub, picked
    by hash; what stays apart after that is compared within the buckets, in blocks, between different components only.
-   A bucket of more than a block is split by every other band first, so its members meet where two bands agree.
+   A bucket of very many that are apart is split by every other band first, so its members meet where two bands agree.
 4. The likelihood of a pair's registers gives an estimate of its similarity; clearly different pairs go.
 5. The others are verified on their full sets.
 """
@@ -36,7 +36,7 @@ RATE = 20.0
 LEVELS = 1 << 11
 #: Standard errors by which an estimate may miss the threshold before its pair is left out unverified.
 SLACK = 4.0
-#: Members of a bucket that meet in one block; larger buckets are split by other bands, then compared block by block.
+#: Members of a bucket that meet in one block; larger buckets are compared block by block.
 BLOCK = 1024
 
 _rng = np.random.default_rng(20_170_301)
@@ -186,30 +186,33 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def mixed_buckets(members: DataFrame) -> DataFrame:
-    """bucket, size, main: buckets whose members (bucket, band, id, component) are of several components; main has the most.
+    """bucket, size, guests, main: buckets whose members (bucket, band, id, component) are of several components; main has
+    the most of them, guests are the others.
 
     Of buckets with the same members the one of the first band is kept; a bucket of two was compared through its hub.
     """
     by_part = members.groupBy("bucket", "component").agg(F.max("band").alias("band"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sign"))
     whole = by_part.groupBy("bucket").agg(F.max("band").alias("band"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("size"), F.sum("sign").alias("sign"), F.max(F.struct("n", "component")).alias("m"))
     whole = whole.filter("parts > 1 and size > 2")
-    return whole.groupBy("sign", "size").agg(F.min(F.struct("band", "bucket", "m.component")).alias("m")).select("m.bucket", "size", F.col("m.component").alias("main"))
+    return whole.groupBy("sign", "size").agg(F.min(F.struct("band", "bucket", "m.component", "m.n")).alias("m")).select("m.bucket", "size", (F.col("size") - F.col("m.n")).alias("guests"), F.col("m.component").alias("main"))
 
 
 def split_hot(members: DataFrame) -> DataFrame:
-    """``members`` with the buckets of more than a block replaced by what is mixed of their parts, by one more band.
+    """``members`` with the buckets of very many guests replaced by what is mixed of their parts, by one more band.
 
-    Band j within a bucket of band i is BANDS * (1 + i) + j. Texts that only share a common passage rarely agree on two
-    bands, so a large bucket of texts that are all apart falls into small parts; a pair at the threshold that agrees on
-    one band of all alone is as good as never met (1 in 10,000 at 0.8, 1 in 100,000 at 0.85).
+    Guests are in every block of their bucket, so a bucket costs guests times blocks; its parts cost each member once
+    for every other band. The parts are less where there are more than BANDS blocks of guests: a bucket of texts that
+    share a passage and are all apart, which rarely agree on two bands. Band j within a bucket of band i is
+    BANDS * (1 + i) + j. A pair at the threshold that agrees on one band of all alone is as good as never met (1 in
+    10,000 at 0.8, 1 in 100,000 at 0.85).
     """
-    hot = members.filter(F.col("size") > BLOCK)
+    hot = members.filter(F.col("guests") > BANDS * BLOCK)
     width = 2 * ROWS
     keys = F.array(*[F.xxhash64("bucket", F.lit(j), F.substring("registers", j * width + 1, width)) for j in range(BANDS)])
     parts = hot.select("id", "component", "n_shingles", "registers", F.col("band").alias("of"), F.posexplode(keys).alias("j", "bucket")).filter("j != of")
     parts = parts.withColumn("band", ((F.col("of") + 1) * BANDS + F.col("j")).cast("int")).drop("of", "j")
-    mixed = mixed_buckets(parts)
-    return members.filter(F.col("size") <= BLOCK).unionByName(parts.join(mixed, "bucket").select(*members.columns))
+    split = parts.join(mixed_buckets(parts), "bucket").select(*members.columns)
+    return members.filter(F.col("guests") <= BANDS * BLOCK).unionByName(split)
 
 
 def met_first(agree: np.ndarray, band: int) -> np.ndarray:
@@ -320,22 +323,18 @@ def near_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     links = materialize(verify(first, sets, percent), "links")
     parts = materialize(connected_components(links), "parts")
     named = lambda frame, key, as_: frame.join(parts.select(F.col("id").alias(key), F.col("component").alias(as_)), key, "left").withColumn(as_, F.coalesce(as_, key))
-    # Then, for every two components that other hubs offer to join, the pair with the most votes.
-    apart = named(named(offered, "a", "ca"), "b", "cb").filter("ca != cb").join(first, ["a", "b"], "left_anti")
-    apart = materialize(apart.select("a", "b", "votes", F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")), "apart")
-    second = materialize(apart.groupBy("x", "y").agg(F.max(F.struct("votes", "a", "b")).alias("m")).select("m.a", "m.b"), "second")
-    links, parts = _joined(links, parts, verify(second, sets, percent))
-    # Last, whatever may still join two of them: other hubs, and members of one bucket.
-    rest = named(named(apart, "a", "ca"), "b", "cb").filter("ca != cb").join(second, ["a", "b"], "left_anti")
-    links, parts = _joined(links, parts, verify(materialize(rest.select("a", "b"), "rest"), sets, percent))
+    # Then what other hubs offer to join, and last members of one bucket that are still apart.
+    rest = named(named(offered, "a", "ca"), "b", "cb").filter("ca != cb").join(first, ["a", "b"], "left_anti")
+    rest = materialize(rest.select("a", "b"), "rest")
+    parts = _joined(parts, verify(rest, sets, percent))
     members = materialize(named(bands.join(buckets.select("bucket"), "bucket"), "id", "component"), "members")
     mixed = materialize(mixed_buckets(members), "mixed")
     inside = members.join(mixed, "bucket").join(classes.select("id", "n_shingles", "registers"), "id")
     crossing, more = crossing_links(inside, classes, docs, sets, width, percent)
-    links, parts = _joined(links, parts, crossing)
+    parts = _joined(parts, crossing)
     of_class = classes.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("part"))
     of_class = materialize(of_class, "verdicts")
-    discard(buckets, offered, first, ids, sets, apart, second, members, mixed, classes, links, parts, *more)
+    discard(buckets, offered, first, links, ids, sets, rest, members, mixed, classes, parts, *more)
     out = found.drop("registers").join(of_class, "digest", "left").withColumn("part", F.coalesce("part", "row")).drop("digest")
     out = materialize(out, "rows")
     discard(found, of_class)
@@ -364,17 +363,20 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     return out.unionByName(nulls.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))
 
 
-def _joined(links: DataFrame, parts: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links with those ``found``, and components by them; without new ones, as they were."""
-    found = materialize(found, "links")
-    if not found.limit(1).count():
-        discard(found)
-        return links, parts
-    # Components are stars already, so only their centres and the new links go through the rounds.
-    together = materialize(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found), "links")
-    grown = materialize(connected_components(together), "parts")
-    discard(links, parts, found)
-    return together, grown
+def _joined(parts: DataFrame, found: DataFrame) -> DataFrame:
+    """Components (id, component) after the links ``found``, of which only those between components go through the rounds."""
+    of = lambda c, as_: parts.select(F.col("id").alias(c), F.col("component").alias(as_))
+    ends = found.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left")
+    ends = ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).filter("a != b").distinct()
+    ends = materialize(ends, "links")
+    if not ends.limit(1).count():
+        discard(ends)
+        return parts
+    joined = materialize(connected_components(ends), "parts")
+    grown = parts.join(joined.select(F.col("id").alias("component"), F.col("component").alias("now")), "component", "left").select("id", F.coalesce("now", "component").alias("component"))
+    grown = materialize(grown.unionByName(joined.join(parts.select("id"), "id", "left_anti")), "parts")
+    discard(ends, joined, parts)
+    return grown
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -119,16 +119,27 @@ def fit_rules(x: np.ndarray, y: np.ndarray, n_trees: int = 16, depth: int = 3, p
     return RuleModel(b, [(p, float(v)) for p, v in zip(rules, w, strict=True) if abs(v) > 1e-6])
 
 
-def train(statistics: DataFrame, labels: DataFrame, fold: int | None = 2, max_rows: int = MAX_TRAIN_ROWS) -> RuleModel:
-    """Fit on the labelled rows outside the held-out fold; ``statistics`` has doc_id and statistics.
+def marked(labels: DataFrame, fold: int | None = 2) -> DataFrame:
+    """doc_id, quality of the labels outside the held-out fold.
 
     Labels other than 0 and 1 and null ids are left out; several labels of one id count as their rounded mean.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)")
     if fold is not None:
         marks = marks.filter(remainder(F.col("doc_id"), 4) != fold)
-    marks = marks.groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("quality"))
-    rows = statistics.select("doc_id", "statistics").join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()
+    return marks.groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("quality"))
+
+
+def sampled(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text) that may train the model: those of the ``max_rows`` labelled ids with the smallest hashes."""
+    ids = marked(labels).select("doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
+    ids = materialize(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows), "sample")
+    return docs.join(F.broadcast(ids), "doc_id", "left_semi")  # max_rows ids
+
+
+def train(statistics: DataFrame, labels: DataFrame, fold: int | None = 2, max_rows: int = MAX_TRAIN_ROWS) -> RuleModel:
+    """Fit on the labelled rows outside the held-out fold; ``statistics`` has doc_id and statistics."""
+    rows = statistics.select("doc_id", "statistics").join(marked(labels, fold), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()
     x = np.array([r["statistics"] for r in rows], np.float64).reshape(-1, len(STATISTICS))
     return fit_rules(x, np.array([r["quality"] for r in rows], np.float64))
 
@@ -145,8 +156,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     empty text. Repeated rows are each scored. No documents give no rows; no labels give a score of 0.5. Only the text
     is an input of the score; the labels serve training alone.
     """
-    found = materialize(with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]), "statistics")
-    return score(found, train(found, labels))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return score(with_statistics(rows, ["doc_id"]), train(with_statistics(sampled(rows, labels), ["doc_id"]), labels))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -155,8 +166,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Rows are judged as in ``classify``: each by itself, empty texts and null ids too. Without labels every score is 0.5
     and no row stays; an empty table gives no rows; columns of any name pass unchanged.
     """
-    found = materialize(with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]), "statistics")
-    model = train(found, labels)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = train(with_statistics(sampled(rows, labels), ["doc_id"]), labels)
     name = unused_name("statistics", docs.columns)
     judged = with_statistics(docs, docs.columns, name)
     return judged.filter(model.column(F.col(name)) >= THRESHOLD).drop(name)

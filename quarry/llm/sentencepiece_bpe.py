@@ -252,29 +252,34 @@ def _model(proto: bytes) -> Bpe:
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
-def encode(docs: DataFrame, carry: list[str] | None = None, model_file: str = DEFAULT_MODEL, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """The columns ``carry`` (doc_id, text) of each row with ids (little-endian 32-bit numbers in one binary) and n_chunks.
+def encode(docs: DataFrame, carry: list[str] | None = None, model_file: str = DEFAULT_MODEL, chunk_chars: int = CHUNK_CHARS, decoded: bool = False) -> DataFrame:
+    """The columns ``carry`` (doc_id, text) of each row with ids (little-endian 32-bit numbers in one binary) and n_chunks;
+    with ``decoded``, what ``decode`` gives for the ids as well, by the worker that has them.
 
     The ids are those of the plain encoder, whatever the chunks. A null or empty text has no ids and no chunk. Repeated
     rows are each encoded; an empty table gives no rows. Carried columns called ids or n_chunks are an error. The model
     file is read once, by the driver.
     """
     carry = carry or ["doc_id", "text"]
-    if {c.lower() for c in carry} & {"ids", "n_chunks"}:
-        raise ValueError("the columns ids and n_chunks are results")
+    if {c.lower() for c in carry} & {"ids", "n_chunks", "decoded"}:
+        raise ValueError("the columns ids, n_chunks and decoded are results")
     spark = docs.sparkSession
     small_batches(spark)
     proto = spark.sparkContext.broadcast(open(model_file, "rb").read())
     name = unused_name("encoded_text", docs.columns)
     rows = docs.select(*carry, text_or_empty().alias(name))
-    schema = rows.drop(name).withColumn("ids", F.lit(b"")).withColumn("n_chunks", F.lit(0)).schema
+    shape = rows.drop(name).withColumn("ids", F.lit(b"")).withColumn("n_chunks", F.lit(0))
+    schema = (shape.withColumn("decoded", F.lit("")) if decoded else shape).schema
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _model(proto.value)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            found = [x.tobytes() for at in range(0, len(texts), GROUP) for x in bpe.encode_many([bpe.normal(t) for t in texts[at : at + GROUP]])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.binary()), pa.array([int(bool(t)) for t in texts], pa.int32())], names=[*batch.schema.names[:-1], "ids", "n_chunks"])
+            found = [x for at in range(0, len(texts), GROUP) for x in bpe.encode_many([bpe.normal(t) for t in texts[at : at + GROUP]])]
+            columns = [pa.array([x.tobytes() for x in found], pa.binary()), pa.array([int(bool(t)) for t in texts], pa.int32())]
+            if decoded:
+                columns.append(pa.array([bpe.decode(x) for x in found], pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=schema.names)
 
     short = rows.filter(F.length(name) <= chunk_chars).mapInArrow(plain, schema)
     giant = rows.filter(F.length(name) > chunk_chars)
@@ -282,7 +287,7 @@ def encode(docs: DataFrame, carry: list[str] | None = None, model_file: str = DE
     giant = materialize(giant.withColumn(row, F.monotonically_increasing_id()), "giant")
     ids = encode_giants(giant.select(F.col(row).alias("row"), F.col(name).alias("text")), proto, chunk_chars)
     long = giant.drop(name).join(ids.withColumnRenamed("row", row), row).select(*carry, "ids", "n_chunks")
-    return short.unionByName(long)
+    return short.unionByName(decode(long, model_file) if decoded else long)
 
 
 def encode_giants(texts: DataFrame, proto, chunk_chars: int) -> DataFrame:
@@ -357,6 +362,6 @@ def report(docs: DataFrame, model_file: str = DEFAULT_MODEL) -> DataFrame:
 
     Null texts count as empty and have no tokens; null and repeated ids are reported as they come; no rows give none.
     """
-    rows = decode(encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), model_file=model_file), model_file)
+    rows = encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), model_file=model_file, decoded=True)
     same = F.col("decoded") == F.replace("text", F.lit(SPACE), F.lit(" "))
     return rows.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "n_chunks", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))

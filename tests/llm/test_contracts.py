@@ -566,17 +566,20 @@ def test_url_query_equals_a_plain_version(spark, sf_dir):
         assert rows[i].verdict == (verdicts[rule] if rule else "block" if rows[i].score > 0.5 else "allow")
 
 
-def test_large_buckets_stay_linear(spark):
+def test_large_buckets_stay_linear(spark, monkeypatch):
     """Members that are all apart, but for one band, don't meet in every block; a pair that agrees on two bands does."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)
     rng = np.random.default_rng(8)
-    n = 4 * near_dedup.BLOCK
+    n = 4096
     registers = rng.integers(0, 60_000, (n, near_dedup.REGISTERS)).astype(np.uint16)
     registers[:, : near_dedup.ROWS] = 7
     registers[1] = registers[0]
-    rows = [(1, 0, n, 0, i, i, 100, bytearray(registers[i].tobytes())) for i in range(n)]
-    members = spark.createDataFrame(rows, "bucket long, band int, size long, main long, id long, component long, n_shingles long, registers binary")
+    rows = [(1, 0, n, n - 1, 0, i, i, 100, bytearray(registers[i].tobytes())) for i in range(n)]
+    members = spark.createDataFrame(rows, "bucket long, band int, size long, guests long, main long, id long, component long, n_shingles long, registers binary")
     seats = near_dedup.seated(near_dedup.split_hot(members))
-    assert seats.count() < 400
+    assert seats.count() < 400 and near_dedup.seated(members).count() > 64 * n
+    few = near_dedup.seated(near_dedup.split_hot(members.withColumn("guests", F.lit(9).cast("long")).withColumn("component", F.when(F.col("id") < n - 9, F.lit(0)).otherwise(F.col("id")))))
+    assert few.count() < 3 * n
     agree = np.zeros((1, near_dedup.REGISTERS), bool)
     agree[0, [0, 1, 2, 3, 8, 9, 10, 11]] = True
     bands = near_dedup.BANDS
@@ -622,3 +625,23 @@ def test_word_hashes_are_of_words_alone(texts):
         assert seen.setdefault(word, h) == h
     assert len(set(seen.values())) == len(seen)
     assert words.hashed_words([])[1].tolist() == [0] and lm_scoring.tokens([b"", b"a b"])[1].tolist() == [0, 1, 4]
+
+
+def test_null_and_repeated_ids_are_each_reported(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, "mail a@b.cd"), (None, "mail a@b.cd"), (None, None), (1, "call +1 (743) 555-3824"), (1, "call +1 (743) 555-3824"), (1, long), (2, long + " end"), (3, "other words"), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit("clash"))
+    ids = sorted((i is None, i or 0) for i, _ in rows)
+    held = lambda out: sorted((r.doc_id is None, r.doc_id or 0) for r in out)
+    found = pii.find(docs).collect()
+    assert held(found) == ids and sorted(r.n_email for r in found) == [0] * 7 + [1] * 2 and sum(r.n_phone for r in found) == 2
+    marks = spark.createDataFrame([(1, 1), (3, 0), (None, 1)], "doc_id long, quality int")
+    scored = quality.classify(docs, marks).collect()
+    assert held(scored) == ids and all(0 <= r.score <= 1 for r in scored)
+    spoken = lm_scoring.score_documents(docs).collect()
+    assert held(spoken) == ids and sorted(r.n_tokens for r in spoken) == sorted(len((t or "").split()) + 1 for _, t in rows)
+    near = near_dedup.near_groups(docs, 3, 85).collect()
+    # The texts of one doc_id are one document, so 1 and 2 are linked by the long ones.
+    assert held(near) == ids and {r.component_id for r in near if r.doc_id in (1, 2)} == {1} and {r.component_id for r in near if r.doc_id == 3} == {3} and {r.component_id for r in near if r.doc_id is None} == {None}
+    exact = exact_dedup.exact_groups(docs).collect()
+    assert held(exact) == ids and sorted(r.group_size for r in exact) == [1, 1, 1, 2, 2, 2, 2, 2, 2]
