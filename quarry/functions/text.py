@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import html
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TOKEN = r"([\p{L}\p{N}_]+)"
 
@@ -26,15 +29,22 @@ def identifier_words(name: Column) -> Column:
     return F.transform(F.regexp_extract_all(name, F.lit(pattern), F.lit(1)), F.lower)
 
 
-def html_text(html: Column) -> Column:
-    """Visible text of a page: no scripts, styles or head; block ends become line ends; blanks collapse."""
-    out = F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</(script|style|head)>", " ")
+def html_text(markup: Column) -> Column:
+    """Visible text of a page: no scripts, styles or head; block ends become line ends; blanks collapse. Entities stay;
+    ``unescape`` resolves them."""
+    out = F.regexp_replace(markup, r"(?is)<(script|style|head)\b.*?</(script|style|head)>", " ")
     out = F.regexp_replace(out, r"(?i)<br\s*/?>|</(p|div|li|tr|h[1-6]|table|ul|ol)>", "\n")
     out = F.regexp_replace(out, r"(?s)<[^>]*>", "")
     out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r" ?\n[ \n]*", "\n")
     return F.regexp_replace(out, r"^[ \n]+|[ \n]+$", "")
 
 
+@F.pandas_udf(StringType())
+def unescape(texts: pd.Series) -> pd.Series:
+    """Entities of HTML, named and numbered, as characters."""
+    return texts.map(lambda t: t if t is None else html.unescape(t))
+
+
 def type_parts(types: Column) -> Column:
     """The members of a composite type, split at commas outside parentheses."""
     inner = r"(?:[^()]|\((?:[^()]|\([^()]*\))*\))"

@@ -131,6 +131,15 @@ def without_source(tables: Tables, source_id: str) -> Tables:
     return {name: t.filter(F.col("source_id") != source_id) for name, t in tables.items()}
 
 
+def cached(spark: SparkSession, root: str, name: str, states: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` gives, written once for the given states of what it reads and read back from then on."""
+    path = f"{root}/cache/{name}-{hashlib.sha256(chr(0).join(states).encode()).hexdigest()[:32]}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def replace_partition(table: DataFrame, path: str, by: str = "source_id") -> None:
     """Write a table by partition so that only the partitions it holds are replaced."""
     table.write.partitionBy(by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)

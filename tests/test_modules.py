@@ -91,3 +91,14 @@ def test_streams(spark, tmp_path):
     assert found == [("a", "1"), ("b", "1"), ("b", "2"), ("c", "1")]
     counts = run(changes.windowed_counts(stream(), "ts", "relative_path", "10 days", "1 day").select("relative_path", "n"), "counts", "complete")
     assert counts == [("a", 3), ("b", 2), ("c", 1)]
+
+
+def test_refresh_begins_behind_what_was_done(spark, tmp_path):
+    rows = lambda *names: spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    seen = []
+    stream = lambda: spark.readStream.schema("name string").parquet(str(tmp_path / "in"))
+    for names in (("a", "b"), (), ("c",)):
+        if names:
+            rows(*names)
+        assert changes.refresh(stream(), lambda batch, _: seen.append(sorted(r.name for r in batch.collect())), str(tmp_path / "done"), 120)
+    assert [s for s in seen if s] == [["a", "b"], ["c"]]

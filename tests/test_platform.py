@@ -161,6 +161,18 @@ def test_snapshots_are_replaced_and_published(spark, tmp_path):
     assert {(r.source_id, r.n) for r in spark.read.parquet(str(tmp_path / "p")).collect()} == {("m", 1), ("e", 3)}
 
 
+def test_results_are_kept_by_state(spark, tmp_path):
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(len(calls))
+
+    for states, n in ((["a", "b"], 1), (["a", "b"], 1), (["a", "c"], 2), (["a", "b"], 1)):
+        assert lifecycle.cached(spark, str(tmp_path), "diff", states, build).count() == n
+    assert len(calls) == 2
+
+
 def test_states(spark):
     none = spark.createDataFrame([], "relative_path string")
     state = lifecycle.graph_state(spark, "r1")
