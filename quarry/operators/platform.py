@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.call_sites import LISTED, MANAGERS
+from quarry.functions.platform_calls import ALL, CLIENT
 from quarry.operators.checks import minimum_mode, mode_warning
 from quarry.operators.graph import common_key
 
@@ -153,6 +154,16 @@ def check(sites: DataFrame, entries: DataFrame, procedures: DataFrame, modules:
     return rows.withColumn("v", verdict).filter("v.level is not null").select("source_id", "module", "place", "line", "snippet", "v.level", "v.reason")
 
 
+def client_only(mask: Column) -> Column:
+    """Whether a mask of environments has some of clients and no other."""
+    return (mask.bitwiseAND(F.lit(CLIENT)) != 0) & (mask.bitwiseAND(F.lit(ALL ^ CLIENT)) == 0)
+
+
+def remaining(mask: Column, taken: Column) -> Column:
+    """The environments of a mask that a branch before has not taken."""
+    return mask.bitwiseAND(F.bitwise_not(taken)).bitwiseAND(F.lit(ALL))
+
+
 # -- reports --------------------------------------------------------------------------------------------------------------
 
 

@@ -139,45 +139,47 @@ def conflicts(ours: DataFrame, release: DataFrame, intercepts: DataFrame | None
     on both sides name_clash; changed by us and removed there removed_in_release; of two changed ones attributes added on
     both sides clash, retyped by us and retyped or removed there are both_changed, and object_both stands for the rest.
     """
-    pair = lambda part, on: _side(ours, part, "our").join(_side(release, part, "their"), on)
     out = []
 
     def add(rows: DataFrame, kind: Column | str, target: Column, note: Column | str = "") -> None:
         named = lambda x: F.lit(x) if isinstance(x, str) else x
         out.append(rows.select(named(kind).alias("kind"), "object", target.alias("target"), named(note).alias("note")).filter("kind is not null"))
 
-    us, them = F.col("our_change"), F.col("their_change")
-    modules = pair("module", ["object", "name"])
-    counted = _counts(ours).withColumnsRenamed({"edited": "our_edited", "touched": "our_touched"}).join(_counts(release).withColumnsRenamed({"edited": "their_edited", "touched": "their_touched"}), "module", "full_outer")
-    add(modules.filter((us == "added") & (them == "added")), "name_clash", F.col("name"), "module")
-    add(modules.filter((us == "removed") & (them == "changed")), "removed_by_you", F.col("name"), "module")
-    gone = modules.filter((us == "changed") & (them == "removed")).join(counted.withColumnRenamed("module", "name"), "name", "left")
-    add(gone, "removed_in_release", F.col("name"), F.concat(F.lit("module, our procedures: "), F.coalesce("our_edited", F.lit(0)).cast("string")))
-    procedures = pair("procedure", ["object", "module", "name"])
+    # What both sides touched, whatever it is: one join.
+    keys = ["object", "part", "m", "name"]
+    side = lambda found, s: found.select("object", "part", F.coalesce("module", F.lit("")).alias("m"), "name", F.col("change").alias(f"{s}_change"), F.col("was").alias(f"{s}_was"), F.col("now").alias(f"{s}_now"))
+    both = side(ours, "our").drop("our_was", "our_now").join(side(release, "their"), keys)
+    us, them, part = F.col("our_change"), F.col("their_change"), F.col("part")
     kind = (
-        F.when((us == "changed") & (them == "changed"), "both_changed")
-        .when((us == "changed") & (them == "removed"), "removed_in_release")
-        .when((us == "added") & (them == "added"), "name_clash")
-        .when((us == "removed") & (them == "changed"), "removed_by_you")
+        F.when((us == "added") & (them == "added"), "name_clash")
+        .when((us == "removed") & (them == "changed") & part.isin("module", "procedure"), "removed_by_you")
+        .when((us == "changed") & (them == "removed") & part.isin("module", "procedure"), "removed_in_release")
+        .when((us == "changed") & (them == "changed") & (part == "procedure"), "both_changed")
+        .when((us == "changed") & them.isin("changed", "removed") & (part == "attribute"), "both_changed")
     )
-    met = procedures.withColumn("kind", kind).filter("kind is not null")
-    signature = F.when((F.col("kind") == "both_changed") & ~F.col("their_was").eqNullSafe(F.col("their_now")), "new signature").otherwise("")
-    add(met, F.col("kind"), F.concat_ws(".", "module", "name"), signature)
-    alone = modules.filter((us == "changed") & (them == "changed")).join(met.select(F.col("module").alias("name")).distinct(), "name", "left_anti").join(counted.withColumnRenamed("module", "name"), "name", "left")
+    both = both.filter(part.isin("module", "procedure", "attribute", "object")).withColumn("kind", kind).persist()
+    target = F.when(part == "procedure", F.concat_ws(".", "m", "name")).when(part == "attribute", F.concat_ws(".", "object", "name")).otherwise(F.col("name"))
+    resigned = (part == "procedure") & (F.col("kind") == "both_changed") & ~F.col("their_was").eqNullSafe(F.col("their_now"))
+    named_note = F.when(resigned, "new signature").when(part == "procedure", "").when((part == "attribute") & (F.col("kind") == "both_changed"), "type of an attribute").otherwise(part)
+    add(both.filter("kind is not null and not (part = 'module' and kind = 'removed_in_release')"), F.col("kind"), target, named_note)
+
+    # Modules that need counts: what is removed there, and what both changed without meeting in a procedure.
+    counted = _counts(ours).withColumnsRenamed({"edited": "our_edited", "touched": "our_touched"}).join(_counts(release).withColumnsRenamed({"edited": "their_edited", "touched": "their_touched"}), "module", "full_outer")
+    met = both.filter("part = 'procedure' and kind is not null").select("m").distinct()
+    modules = both.filter("part = 'module' and our_change = 'changed' and their_change in ('removed', 'changed')").withColumnRenamed("name", "module").join(counted, "module", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("string")
-    add(alone, "module_both", F.col("name"), F.concat(F.lit("our procedures: "), zero("our_edited"), F.lit(", of the release: "), zero("their_touched")))
-
-    objects = lambda side, found: object_changes(found).select("object", F.col("status").alias(f"{side}_status"), F.col("metadata_changed").alias(f"{side}_meta"))
-    both = objects("our", ours).join(objects("their", release), "object")
-    add(both.filter("our_status = 'added' and their_status = 'added'"), "name_clash", F.col("object"), "object")
-    touched = both.filter("our_status != 'added' and our_meta")
-    add(touched.filter("their_status = 'removed'"), "removed_in_release", F.col("object"), "object")
-    touched = touched.filter("their_status != 'removed' and their_meta")
-    attributes = pair("attribute", ["object", "name"]).join(touched.select("object"), "object", "left_semi")
-    clash = F.when((us == "added") & (them == "added"), "name_clash").when((us == "changed") & them.isin("changed", "removed"), "both_changed")
-    attributes = attributes.withColumn("kind", clash).filter("kind is not null")
-    add(attributes, F.col("kind"), F.concat_ws(".", "object", "name"), F.when(F.col("kind") == "name_clash", "attribute").otherwise("type of an attribute"))
-    add(touched.join(attributes.select("object").distinct(), "object", "left_anti"), "object_both", F.col("object"))
+    add(modules.filter("their_change = 'removed'"), "removed_in_release", F.col("module"), F.concat(F.lit("module, our procedures: "), zero("our_edited")))
+    alone = modules.filter("their_change = 'changed'").join(met, "m", "left_anti")
+    add(alone, "module_both", F.col("module"), F.concat(F.lit("our procedures: "), zero("our_edited"), F.lit(", of the release: "), zero("their_touched")))
+
+    # Objects whose metadata we changed: removed there, or changed there without a common attribute. Parts are compared
+    # only in objects that both sides of a comparison have, so such an object is neither added nor removed itself.
+    inside = lambda found: found.filter(F.col("part").isin("attribute", "form", "synonym")).select("object").distinct()
+    mine = inside(ours)
+    gone = release.filter("part = 'object' and change = 'removed'").select("object")
+    add(mine.join(gone, "object", "left_semi"), "removed_in_release", F.col("object"), "object")
+    shared = mine.join(inside(release), "object", "left_semi").join(both.filter("part = 'attribute' and kind is not null").select("object").distinct(), "object", "left_anti")
+    add(shared, "object_both", F.col("object"))
 
     if intercepts is not None:
         where = F.concat(F.col("source_id").cast("string"), F.lit(": "), "ext_procedure")
@@ -192,10 +194,6 @@ def conflicts(ours: DataFrame, release: DataFrame, intercepts: DataFrame | None
     return reduce(DataFrame.unionByName, out)
 
 
-def _side(found: DataFrame, part: str, side: str) -> DataFrame:
-    return found.filter(F.col("part") == part).select("object", "module", "name", F.col("change").alias(f"{side}_change"), F.col("was").alias(f"{side}_was"), F.col("now").alias(f"{side}_now")).drop(*(["module"] if part != "procedure" else []))
-
-
 def _counts(found: DataFrame) -> DataFrame:
     """module, edited (changed and added procedures), touched (removed ones too)."""
     procs = found.filter("part = 'procedure'")

@@ -385,6 +385,19 @@ def report_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.page(_verdicts(spark, sf_dir), ["error", "warning"], 40, 120).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "level")
 
 
+@entry("SELECT p_partkey, (p_partkey & 63) <> 0 AND (p_partkey & 960) = 0 AS client_only, p_partkey & ~(p_size::BIGINT) & 1023 AS remaining FROM part")
+def target_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = F.col("p_partkey")
+    return read(spark, sf_dir, "part").select("p_partkey", verdicts.client_only(mask).alias("client_only"), verdicts.remaining(mask, F.col("p_size").cast("long")).alias("remaining"))
+
+
+@entry("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS indexed_at, o_orderdate > TIMESTAMP '1995-06-01' AS later FROM orders")
+def indexed_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times as the index writes them, and compared."""
+    at = F.col("o_orderdate")
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss").alias("indexed_at"), (at > F.lit("1995-06-01").cast("timestamp_ntz")).alias("later"))
+
+
 # -- names of kinds -------------------------------------------------------------------------------------------------------
 
 KIND_ALIASES = {"machines": "MACHINERY", "machinery": "MACHINERY", "house": "HOUSEHOLD"}

@@ -132,7 +132,7 @@ def _conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @entry(f"WITH {CONFLICTS_SQL} SELECT kind, object, target FROM conflicts")
 def update_conflicts_3way(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshots.by_severity(_conflicts(spark, sf_dir)).select("kind", "object", "target")
+    return _conflicts(spark, sf_dir).select("kind", "object", "target")
 
 
 @entry(f"""
