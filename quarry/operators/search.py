@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import tokens
+from quarry.functions.text import TOKEN, tokens
 
 K1, B = 1.2, 0.75
 
@@ -131,11 +131,16 @@ def bm25_terms(post: DataFrame, sizes: DataFrame, key: str, terms: list[str], we
 
 
 def scanned(docs: DataFrame, key: str, fields: dict[str, str], terms: list[str], weights: dict[str, float]) -> DataFrame:
-    """key, len, f (array of the weighted hits of each prefix term) of every document: an index-free read, without a shuffle."""
-    tokened = docs.select(key, *[tokens(F.col(c)).alias(f) for f, c in fields.items()])
-    count = lambda f, t: F.size(F.filter(F.col(f), lambda x: F.startswith(x, t))) * F.lit(float(weights[f]))
-    found = F.transform(F.array(*map(F.lit, terms)), lambda t: reduce(lambda a, b: a + b, [count(f, t) for f in fields]))
-    return tokened.select(key, reduce(lambda a, b: a + b, [F.size(f) for f in fields]).cast("long").alias("len"), found.alias("f"))
+    """key, len, f (array of the weighted hits of each prefix term) of every document: an index-free read, without a shuffle.
+
+    Tokens and hits are counted in the text, at the places where tokens start; no array of tokens is made.
+    """
+    low = docs.select(key, *[F.lower(F.coalesce(F.col(c), F.lit(""))).alias(f) for f, c in fields.items()])
+    start = TOKEN[1:-2]  # one character of a token
+    count = lambda f, t: F.regexp_count(F.col(f), F.lit(rf"(?<!{start})\Q{t}\E")) * F.lit(float(weights[f]))
+    add = lambda parts: reduce(lambda a, b: a + b, parts)
+    found = F.array(*[add([count(f, t) for f in fields]) for t in terms])
+    return low.select(key, add([F.regexp_count(F.col(f), F.lit(TOKEN)) for f in fields]).cast("long").alias("len"), found.alias("f"))
 
 
 def scan_bm25(docs: DataFrame, key: str, fields: dict[str, str], terms: list[str], weights: dict[str, float]) -> DataFrame:

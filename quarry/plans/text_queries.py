@@ -105,7 +105,9 @@ def search_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eval_hit_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "benchmark")
     q = items.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]{9,})"), F.lit(1)))).alias("token"))
-    shared = q.join(_postings(spark, sf_dir).select("doc_id", "token"), "token").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
+    # Only words as long as those of the questions are taken out of the texts.
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]{9,})"), F.lit(1)))).alias("token")
+    shared = q.join(read(spark, sf_dir, "documents").select("doc_id", words), "token").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
     ranked = shared.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("shared"), "doc_id")))
     good = ranked.join(read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi").groupBy("item_id").agg(F.min("rank").alias("rank"))
     return metrics.retrieval(items.select("item_id").join(good, "item_id", "left"), "rank")
