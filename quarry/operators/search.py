@@ -137,7 +137,7 @@ def scanned(docs: DataFrame, key: str, fields: dict[str, str], terms: list[str],
     """
     low = docs.select(key, *[F.lower(F.coalesce(F.col(c), F.lit(""))).alias(f) for f, c in fields.items()])
     start = TOKEN[1:-2]  # one character of a token
-    count = lambda f, t: F.regexp_count(F.col(f), F.lit(rf"(?<!{start})\Q{t}\E")) * F.lit(float(weights[f]))
+    count = lambda f, t: F.regexp_count(F.col(f), F.lit(rf"\Q{t}\E(?<!{start}\Q{t}\E)")) * F.lit(float(weights[f]))
     add = lambda parts: reduce(lambda a, b: a + b, parts)
     found = F.array(*[add([count(f, t) for f in fields]) for t in terms])
     return low.select(key, add([F.regexp_count(F.col(f), F.lit(TOKEN)) for f in fields]).cast("long").alias("len"), found.alias("f"))
