@@ -26,8 +26,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-#: An identifier-like stretch: a token with a digit or an at sign, and the groups of digits that go on after a space.
-CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+(?:\x20\(?[0-9][0-9().-]*+)*+"
+#: An identifier-like stretch: a token with a digit or an at sign, and the groups of digits that go on after a digit and a space.
+CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+(?:(?<=[0-9)])\x20\(?[0-9][0-9().-]*+)*+"
 #: Characters that mark matches; the private-use character they take the place of in a text matches no pattern.
 MARK, OTHER = "", ""
 

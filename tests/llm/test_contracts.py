@@ -225,10 +225,11 @@ def test_secrets_and_contexts_on_both_sides(spark):
     """Of planted identifiers that no base pattern fits all are found, by what stands around them, and nothing else is."""
     hexes = [f"{i:02x}ab" + "0f" * 18 for i in range(9)]
     rows = [(i, f'some words token = "{h}" and more') for i, h in enumerate(hexes)] + [(20 + i, f"the {i}{i} lines of text no {i}") for i in range(9)]
-    rows += [(40, 'a token = "short-1234" here'), (41, "mail x at 17 o'clock")]
+    rows += [(30, f'x token = "{hexes[0]}"### 4785380592 y'), (40, 'a token = "short-1234" here'), (41, "mail x at 17 o'clock")]
     rows += [(50 + i, f"write to user{i}@mail.example.com for news") for i in range(9)] + [(70, "write to user@localhost for news")]
     found = by_id(pii.find(spark.createDataFrame(rows, "doc_id long, text string")))
     assert all(found[i].spans == f"secret:20:{20 + len(h)}" for i, h in enumerate(hexes)) and all(found[20 + i].n_spans == 0 for i in range(9))
+    assert found[30].spans == f"secret:11:{11 + len(hexes[0])}"
     assert found[40].spans == "secret:11:21" and found[41].spans == "" and found[70].spans == "email:9:23" and found[70].n_email == 0
     long = "word " * 30_000 + "+1 (743) 555-1234 " * 3_000
     one = pii.find(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()
