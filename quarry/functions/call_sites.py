@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.source_code import FUNCTION, NOT_CALLS, masked, outline, without_deleted
+from quarry.functions.source_code import NOT_CALLS, masked, outline, without_deleted
 
 # Collections of managers in both languages and the kinds of their objects.
 MANAGERS = {

@@ -8,8 +8,6 @@ callee_module, callee, line. Names compare in any case.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,14 +15,6 @@ from pyspark.sql import functions as F
 COMMON_MODULE = ("общиймодуль.", ".модуль")
 
 
-def resolve(calls: DataFrame, key: str, tiers: list[tuple[str, DataFrame]], order: list[Column]) -> DataFrame:
-    """The best candidate of each call: tiers of (confidence, candidates with key), the first tier first, then ``order``."""
-    found = reduce(DataFrame.unionByName, [c.withColumn("confidence", F.lit(name)).withColumn("tier", F.lit(i)) for i, (name, c) in enumerate(tiers)])
-    columns = [c for c in found.columns if c not in (key, "tier")]
-    best = found.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct("tier", *order)).alias("m")).select(key, "m.*")
-    return calls.join(best, key, "left")
-
-
 def common_key(module: Column) -> Column:
     return F.concat(F.lit(COMMON_MODULE[0]), module, F.lit(COMMON_MODULE[1]))
 

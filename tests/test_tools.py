@@ -3,9 +3,13 @@
 import pytest
 from test_dump import BOTH, PAGES, STRING, attribute, book, object_file, text
 
+from pyspark.sql import functions as F
+
 from quarry import ingest, tools
-from quarry.operators import lifecycle
+from quarry.functions.text import refers_to
+from quarry.operators import lifecycle, search
 from quarry.sources import help as books
+from quarry.sources import reports
 
 STOCK = """// Counts goods.
 Function Count(Item) Export
@@ -140,3 +144,27 @@ def test_changes(spark, made):
     kept, unknown = tools.add_glossary_term(index, spark.createDataFrame([("stock.count", "", ["quantity"], "", "me", "t"), ("Nothing", "", ["x"], "", "me", "t")], "target string, target_kind string, terms array<string>, note string, author string, updated_at string"))
     assert {r.target for r in kept.collect()} == {"Справочник.Items", "ОбщийМодуль.Stock.Модуль.Count"} and [r.target for r in unknown.collect()] == ["Nothing"]
     assert tools.list_glossary(index, "goods list").count() == 1 and tools.remove_glossary_term(index, "1").count() == 0
+
+
+def test_texts(spark, made):
+    index, _, _ = made
+    tree = reports.tree_text(tools.get_call_tree(index, "BeforeWrite", "Документ.Order", depth=2)).split("\n")
+    assert tree[0].endswith("BeforeWrite") and tree[1].startswith("  ОбщийМодуль.Stock.Модуль.Count (line 4") and tree[2].startswith("    ")
+    page = reports.object_text(tools.get_object_details(index, "Справочник.Items")).split("\n")
+    assert page[0] == "Справочник.Items - Номенклатура товаров" and page[1] == "  Title: String(25, Variable)" and reports.object_text(tools.get_object_details(index, "Nothing")) == "No such object"
+    assert reports.broken_text(tools.find_broken_calls(index), "not_export") == "Документ.Order.МодульОбъекта.BeforeWrite, line 4: Stock.Helper"
+    entry = tools.platform_help(index, "ValueTable.Count").first().asDict(recursive=True)
+    shown = reports.help_text(entry, warning=entry["warning"])
+    assert shown.startswith("ТаблицаЗначений.Количество (Count)") and "needs mode 8.3.26" in shown and "А: Строка, Число" in shown
+    changes = tools.diff_from_base(index, index)
+    assert reports.diff_report(changes).count() == 0 and reports.diff_report(changes).columns[0] == "change"
+    rows = spark.createDataFrame([("name_clash", "B", "t", "", 4, "x"), ("both_changed", "A", "t", "", 0, "y")], "kind string, object string, target string, note string, rank int, advice string")
+    assert [r.kind for r in reports.conflict_report(rows).collect()] == ["both_changed", "name_clash"]
+    key = index["procedures"].select(tools.procedure_key("source_id", F.upper("module"), F.lower("procedure")).alias("k"), tools.procedure_key("source_id", "module", "procedure").alias("l")).collect()
+    assert all(r.k == r.l and len(r.k) == 21 for r in key) and len({r.k for r in key}) == len(key)
+    files = index["modules"].select("source_id", F.col("relative_path").alias("file_path"), F.lit(True).alias("is_export"))
+    assert search.filtered(files, "main", "STOCK", True).count() == 1 and search.filtered(files).count() == 4
+    typed = spark.createDataFrame([("CatalogRef.Items, String(5, Fixed)",), ("CatalogRef.Item",), ("Boolean",)], "t string")
+    assert [r.r for r in typed.select(refers_to(F.col("t"), "Catalog", "items").alias("r")).collect()] == [True, False, False]
+    best = search.top_per_group(index["procedures"], ["module"], [F.col("start_line")], 1)
+    assert best.count() == index["procedures"].select("module").distinct().count()
