@@ -182,7 +182,7 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS t FROM pages)
     SELECT page_id, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS title FROM a""")
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").select("page_id", T.unescape(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("title"))
+    return read(spark, sf_dir, "pages").select("page_id", T.unescape_marks(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("title"))
 
 
 # -- module texts -----------------------------------------------------------------------------------------------------

@@ -27,5 +27,13 @@ def test_runs(name, spark, sf_dir):
     assert registry.QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_titles_with_open_and_other_entities(spark, tmp_path):
+    """A title may end within an entity, and hold entities that its SQL leaves as they are."""
+    titles = ["und&amp;&amp", "a &lt b &LT; c", "&copy; &#39; &#x27; &nbsp;", "&amp;lt; &amp;amp; &lt;&gt;&quot;", "two\nlines &amp;", ""]
+    rows = [(i, f"u{i}", f"<html><title>{t}</title></html>") for i, t in enumerate(titles)] + [(90, "u", "<p>none</p>"), (91, "u", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").toPandas().to_parquet(tmp_path / "pages.parquet")
+    assert oracle.same(entry.queries()["page_titles"](spark, str(tmp_path)), oracle.connect(str(tmp_path)), entry.oracle_sql()["page_titles"]) == ""
+
+
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
