@@ -6,7 +6,9 @@
    an exponential scale of base ``BASE``, truncated to a byte. Registers of a union are the maxima of the registers.
 3. Bands of ``ROWS`` registers are the keys of buckets. A bucket offers the links from its members to one hub, picked
    by hash; what stays apart after that is compared within the buckets, in blocks, between different components only.
-   A bucket of very many that are apart is split by every other band first, so its members meet where two bands agree.
+   A bucket of very many that are apart is split by every other band first, so its members meet where two bands agree;
+   those that are still apart then meet by the rarest shingles of their full sets, which leaves no link out. So the
+   links are the same whatever the size of a bucket.
 4. The likelihood of a pair's registers gives an estimate of its similarity; clearly different pairs go.
 5. The others are verified on their full sets.
 """
@@ -19,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import KEY_ROWS, bounded, discard, keyed, materialize, one_each, slices, small_batches, text_or_empty
@@ -38,6 +40,8 @@ LEVELS = 1 << 11
 SLACK = 4.0
 #: Members of a bucket that meet in one block; larger buckets are compared block by block.
 BLOCK = 1024
+#: In the place of a band: the bucket is of a shingle.
+ANY = -1
 
 _rng = np.random.default_rng(20_170_301)
 _FACTORS = _rng.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) | np.uint64(1)
@@ -185,39 +189,73 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ia", "ib").mapInArrow(check, "a long, b long")
 
 
-def mixed_buckets(members: DataFrame) -> DataFrame:
+def mixed_buckets(members: DataFrame, least: int = 3) -> DataFrame:
     """bucket, size, guests, main: buckets whose members (bucket, band, id, component) are of several components; main has
     the most of them, guests are the others.
 
-    Of buckets with the same members the one of the first band is kept; a bucket of two was compared through its hub.
+    Of buckets with the same members the one of the first band is kept. Those of less than ``least`` members are left
+    out: a bucket of two was compared through its hub, but the parts of a bucket have no hubs.
     """
     by_part = members.groupBy("bucket", "component").agg(F.max("band").alias("band"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sign"))
     whole = by_part.groupBy("bucket").agg(F.max("band").alias("band"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("size"), F.sum("sign").alias("sign"), F.max(F.struct("n", "component")).alias("m"))
-    whole = whole.filter("parts > 1 and size > 2")
+    whole = whole.filter(f"parts > 1 and size >= {least}")
     return whole.groupBy("sign", "size").agg(F.min(F.struct("band", "bucket", "m.component", "m.n")).alias("m")).select("m.bucket", "size", (F.col("size") - F.col("m.n")).alias("guests"), F.col("m.component").alias("main"))
 
 
-def split_hot(members: DataFrame) -> DataFrame:
-    """``members`` with the buckets of very many guests replaced by what is mixed of their parts, by one more band.
+def is_hot() -> Column:
+    """Whether a bucket has so many guests that its members don't all meet in its blocks.
 
     Guests are in every block of their bucket, so a bucket costs guests times blocks; its parts cost each member once
     for every other band. The parts are less where there are more than BANDS blocks of guests: a bucket of texts that
-    share a passage and are all apart, which rarely agree on two bands. Band j within a bucket of band i is
-    BANDS * (1 + i) + j. A pair at the threshold that agrees on one band of all alone is as good as never met (1 in
-    10,000 at 0.8, 1 in 100,000 at 0.85).
+    share a passage and are all apart, which rarely agree on two bands.
     """
-    hot = members.filter(F.col("guests") > BANDS * BLOCK)
+    return F.col("guests") > BANDS * BLOCK
+
+
+def split_hot(members: DataFrame) -> DataFrame:
+    """``members`` with the hot buckets replaced by what is mixed of their parts, by one more band.
+
+    Band j within a bucket of band i is BANDS * (1 + i) + j. Pairs that agree on one band of all alone don't meet here;
+    ``by_shingles`` has them.
+    """
+    hot = members.filter(is_hot())
     width = 2 * ROWS
     keys = F.array(*[F.xxhash64("bucket", F.lit(j), F.substring("registers", j * width + 1, width)) for j in range(BANDS)])
     parts = hot.select("id", "component", "n_shingles", "registers", F.col("band").alias("of"), F.posexplode(keys).alias("j", "bucket")).filter("j != of")
     parts = parts.withColumn("band", ((F.col("of") + 1) * BANDS + F.col("j")).cast("int")).drop("of", "j")
-    split = parts.join(mixed_buckets(parts), "bucket").select(*members.columns)
-    return members.filter(F.col("guests") <= BANDS * BLOCK).unionByName(split)
+    split = parts.join(mixed_buckets(parts, 2), "bucket").select(*members.columns)
+    return members.filter(~is_hot()).unionByName(split)
+
+
+def by_shingles(rows: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
+    """The rows (id, component, n_shingles, registers) as members of buckets of band ANY, each of one shingle; written,
+    the table of common shingles after it.
+
+    Sets of n and more shingles that reach the threshold share one of the first n - ceil(n * percent / 100) + 1, in any
+    order that both follow. Shingles of more than a block of the sets come last, so what many texts share makes a bucket
+    only where a text has little else.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))], names=["id", "bucket"])
+
+    each = rows.select("id").join(sets, "id").select("id", "items").mapInArrow(spread, "id long, bucket long")
+    common = materialize(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK), "common")
+    ordered = each.join(bounded(common, KEY_ROWS), "bucket", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "bucket"))).alias("order"))
+    need = F.ceil(F.size("order") * percent / F.lit(100)).cast("int")
+    first = ordered.select("id", F.explode(F.slice("order", F.lit(1), F.size("order") - need + 1)).alias("at")).select("id", "at.bucket")
+    return [materialize(first.join(rows, "id").withColumn("band", F.lit(ANY)), "apart"), common]
 
 
 def met_first(agree: np.ndarray, band: int) -> np.ndarray:
-    """Which pairs (rows of equal registers) count in a bucket of this band: it is the first that agrees, or the first two."""
+    """Which pairs (rows of equal registers) count in a bucket of this band: it is the first that agrees, or the first two;
+    of band ANY, those that agree on any."""
     bands = agree.reshape(-1, BANDS, ROWS).all(axis=2)
+    if band == ANY:
+        return bands.any(axis=1)
     outer, inner = (band, None) if band < BANDS else (band // BANDS - 1, band % BANDS)
     here = bands.argmax(axis=1) == outer
     if inner is not None:
@@ -263,6 +301,16 @@ def candidates(f: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray, n
     return x, y, same
 
 
+def with_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, sets: DataFrame, width: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``sets`` with those of the wanted ids that it lacks, and the tables written for them."""
+    missing = wanted.select("id").distinct().join(sets.select("id"), "id", "left_anti").join(classes.select("id", *KEYS), "id")
+    written = [materialize(missing, "missing")]
+    if written[0].limit(1).count():
+        written.append(materialize(class_sets(docs, written[0], width), "sets"))
+        sets = sets.unionByName(written[-1])
+    return sets, written
+
+
 def crossing_links(members: DataFrame, classes: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
     """Links (a, b) between different components of a bucket, and the tables it has written for them.
 
@@ -285,15 +333,10 @@ def crossing_links(members: DataFrame, classes: DataFrame, docs: DataFrame, sets
                 out.append((max(ids[x[k]], ids[y[k]]), min(ids[x[k]], ids[y[k]])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    near = materialize(seated(split_hot(members)).groupBy("bucket", "block").applyInPandas(involved, f"{MEMBER}, registers binary"), "involved")
-    missing = near.select("id").distinct().join(sets.select("id"), "id", "left_anti").join(classes.select("id", *KEYS), "id")
-    missing = materialize(missing, "missing")
-    written = [near, missing]
-    if missing.limit(1).count():
-        written.append(materialize(class_sets(docs, missing, width), "sets"))
-        sets = sets.unionByName(written[-1])
+    near = materialize(seated(members).groupBy("bucket", "block").applyInPandas(involved, f"{MEMBER}, registers binary"), "involved")
+    sets, written = with_sets(near, classes, docs, sets, width)
     rows = near.join(sets, "id").select(*near.columns, "items")
-    return rows.groupBy("bucket", "block").applyInPandas(linked, "a long, b long").distinct(), written
+    return rows.groupBy("bucket", "block").applyInPandas(linked, "a long, b long").distinct(), [near, *written]
 
 
 def near_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -330,8 +373,18 @@ def near_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     members = materialize(named(bands.join(buckets.select("bucket"), "bucket"), "id", "component"), "members")
     mixed = materialize(mixed_buckets(members), "mixed")
     inside = members.join(mixed, "bucket").join(classes.select("id", "n_shingles", "registers"), "id")
-    crossing, more = crossing_links(inside, classes, docs, sets, width, percent)
+    crossing, more = crossing_links(split_hot(inside), classes, docs, sets, width, percent)
     parts = _joined(parts, crossing)
+    # What members of hot buckets were not compared for.
+    if mixed.filter(is_hot()).limit(1).count():
+        hot = inside.filter(is_hot()).select("id", "n_shingles", "registers").dropDuplicates(["id"])
+        hot = materialize(named(hot, "id", "component"), "hot")
+        every, written = with_sets(hot, classes, docs, sets, width)
+        apart, common = by_shingles(hot, every, percent)
+        shared = materialize(mixed_buckets(apart, 2), "shared")
+        crossing, again = crossing_links(apart.join(shared, "bucket"), classes, docs, every, width, percent)
+        parts = _joined(parts, crossing)
+        more += [hot, apart, common, shared, *written, *again]
     of_class = classes.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("part"))
     of_class = materialize(of_class, "verdicts")
     discard(buckets, offered, first, links, ids, sets, rest, members, mixed, classes, parts, *more)

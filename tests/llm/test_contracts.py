@@ -587,6 +587,26 @@ def test_large_buckets_stay_linear(spark, monkeypatch):
     assert near_dedup.met_first(agree.copy(), 0)[0] and not near_dedup.met_first(agree.copy(), 2)[0] and near_dedup.met_first(agree.copy(), bands + 2)[0] and not near_dedup.met_first(agree.copy(), 3 * bands)[0]
 
 
+def test_links_are_the_same_in_buckets_of_any_size(spark, monkeypatch):
+    """Texts that share a passage, some with a near copy that agrees on a band or two: split buckets leave no link out."""
+    rng = np.random.default_rng(4)
+    passage, rows = [f"p{i}" for i in range(60)], []
+    for i in range(150):
+        own = [f"o{i}x{k}" for k in range(40)]
+        rows.append((2 * i, " ".join(passage + own)))
+        if i % 3 == 0:
+            words = passage + own
+            for k in rng.choice(100, 24, replace=False).tolist():
+                words[k] = f"n{i}x{k}"
+            rows.append((2 * i + 1, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = lambda: {r.doc_id: r.component_id for r in near_dedup.near_groups(docs, 1, 60).collect()}
+    whole = groups()
+    assert 20 < sum(i != c for i, c in whole.items()) <= 50
+    monkeypatch.setattr(near_dedup, "BLOCK", 1)
+    assert groups() == whole
+
+
 def test_many_maps_give_the_same_groups(spark):
     rows = [(i, f"text {i % 700}") for i in range(1000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
