@@ -1,9 +1,10 @@
 """A gated recurrent language model in numpy: truncated backpropagation, class-factored softmax, carried state.
 
-The model reads and predicts units, every word being of one: the words ranked first by count are units of their own,
-and all others fall by a hash into as many buckets, whose shares within a bucket are counted, not learned. The number
-of units grows with the square root of the vocabulary. Classes of ``side`` units each factor the softmax: ``side``
-classes of words, then ``side`` classes of buckets. The cell has one gate, which decides how much of the old state goes
+The model reads and predicts units, every word being of one. The softmax is factored thrice: ``side`` classes of
+``side`` words each, those ranked first by count, and ``side`` classes of ``side`` buckets each, which have ``leaves``
+units each: most of them words of their own, the next by count, the others shared by a hash, where shares within a
+unit are counted, not learned. So the number of units is about ``1 + LEAVES`` times the square root of the vocabulary,
+which keeps the weights, that every task holds, to a share of it. With one leaf a bucket is one unit. The cell has one gate, which decides how much of the old state goes
 into the candidate and how much of the candidate into the new state.
 """
 
@@ -19,38 +20,55 @@ HIDDEN = 11
 OUT = HIDDEN + 1
 #: A side is at least so long.
 SIDE = 32
+#: Units of a bucket.
+LEAVES = 32
 WINDOW = 8
 STREAMS = 512
 RATE = 1.4e-2
 #: Rows whose softmax is taken at a time, so that it stays in the cache.
 BLOCK = 2048
+#: Rows whose buckets' units are gathered at a time in scoring, and rows of one bucket that are few.
+PART, FEW = 256, 4
+#: The rate of the buckets' units, whose steps are scaled by the squares of all their gradients so far, a mean for each bucket.
+LEAF_RATE = 0.03
 
 Weights = dict[str, np.ndarray]
 
 
 def side_of(vocabulary: int) -> int:
-    """Classes of words, and units of a class: their product is about the square root of the vocabulary."""
+    """Classes of words, and words or buckets of a class: their product is about the square root of the vocabulary."""
     return max(SIDE, math.ceil(math.sqrt(math.sqrt(vocabulary))))
 
 
-def shapes(side: int) -> dict[str, tuple[int, ...]]:
-    """x: what a unit adds to gate and candidate, the last row a document's start; u: what the state adds; c: classes; w: units."""
+def shapes(side: int, leaves: int = 1) -> dict[str, tuple[int, ...]]:
+    """x: what a unit adds to gate and candidate, the last row a document's start; u: what the state adds; c: classes;
+    w: words and buckets; v: units of buckets of several."""
     classes = 2 * side
-    return {"x": (classes * side + 1, 2 * HIDDEN), "u": (HIDDEN, 2 * HIDDEN), "c": (classes, OUT), "w": (classes, side, OUT)}
+    found = {"x": (side * side * (1 + leaves) + 1, 2 * HIDDEN), "u": (HIDDEN, 2 * HIDDEN), "c": (classes, OUT), "w": (classes, side, OUT)}
+    return found | ({"v": (side * side, leaves, OUT)} if leaves > 1 else {})
+
+
+def leaves_of(p: Weights) -> int:
+    return p["v"].shape[1] if "v" in p else 1
 
 
 def initial(words: np.ndarray, buckets: np.ndarray) -> Weights:
     """Weights before training, with which the model is the unigram model of the given masses.
 
-    ``words``: of the ranked words, at most as many as buckets; ``buckets``: of all buckets, a square number.
+    ``words``: of the ranked words, at most as many as buckets; ``buckets``: of all buckets, a square number, and of
+    their units if it has two dimensions.
     """
     side, rng = math.isqrt(len(buckets)), np.random.default_rng(7)
-    mass = np.concatenate([words, np.zeros(len(buckets) - len(words)), buckets]).reshape(2 * side, side)
+    within = buckets.reshape(len(buckets), -1)
+    mass = np.concatenate([words, np.zeros(len(buckets) - len(words)), within.sum(axis=1)]).reshape(2 * side, side)
     classes = np.maximum(mass.sum(axis=1), 1e-9)
-    spread = {"x": 0.3, "u": 0.2, "c": 0.05, "w": 0.05}
-    p = {k: rng.normal(0, spread[k], s).astype("f4") for k, s in shapes(side).items()}
+    spread = {"x": 0.3, "u": 0.2, "c": 0.05, "w": 0.05, "v": 0.0}
+    p = {k: rng.normal(0, spread[k], s).astype("f4") for k, s in shapes(side, within.shape[1]).items()}
     p["c"][:, HIDDEN] = np.log(classes / classes.sum())
-    p["w"][:, :, HIDDEN] = np.where(mass > 0, np.log(np.maximum(mass, 1)) - np.log(np.maximum(mass.max(axis=1, keepdims=True), 1)), -20.0)
+    share = lambda m: np.where(m > 0, np.log(np.maximum(m, 1)) - np.log(np.maximum(m.max(axis=1, keepdims=True), 1)), -20.0)
+    p["w"][:, :, HIDDEN] = share(mass)
+    if "v" in p:
+        p["v"][:, :, HIDDEN] = share(within)
     return p
 
 
@@ -58,9 +76,9 @@ def pack(weights: Weights) -> np.ndarray:
     return np.concatenate([weights[k].ravel() for k in sorted(weights)])
 
 
-def unpack(flat: np.ndarray, side: int) -> Weights:
+def unpack(flat: np.ndarray, side: int, leaves: int = 1) -> Weights:
     out, at = {}, 0
-    for k, shape in sorted(shapes(side).items()):
+    for k, shape in sorted(shapes(side, leaves).items()):
         size = math.prod(shape)
         out[k] = flat[at : at + size].reshape(shape).astype("f4")
         at += size
@@ -116,21 +134,60 @@ def _log_share(a: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (chosen - np.ravel(top)).astype("f8") - np.log(a.sum(axis=1))
 
 
+def _placed(p: Weights, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words and buckets of units, the buckets after the words, and the units' numbers within all buckets, else negative."""
+    own = p["w"].shape[1] ** 2
+    inside = units - own
+    return np.where(inside < 0, units, own + inside // leaves_of(p)), inside
+
+
 def log_probs(p: Weights, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural logarithms of the units' probabilities; ``h`` has the constant as its last column."""
-    side = p["w"].shape[1]
+    side, leaves = p["w"].shape[1], leaves_of(p)
     out = np.empty(len(h))
-    label = targets // side
+    placed, inside = _placed(p, targets)
+    label = placed // side
     order, runs = _by_class(label)
-    hs, label, inner = h[order], label[order], targets[order] % side
+    hs, label, inner = h[order], label[order], placed[order] % side
     found = _log_share(_within(p, hs, runs), inner)
     turned = np.ascontiguousarray(p["c"].T)
     for i in range(0, len(hs), BLOCK):
         found[i : i + BLOCK] += _log_share(hs[i : i + BLOCK] @ turned, label[i : i + BLOCK])
     out[order] = found
+    if leaves > 1:
+        rows = np.flatnonzero(inside >= 0)
+        rows = rows[np.argsort(inside[rows], kind="stable")]
+        for i in range(0, len(rows), PART):
+            part = rows[i : i + PART]
+            out[part] += _log_share(np.matmul(p["v"][inside[part] // leaves], h[part, :, None])[:, :, 0], inside[part] % leaves)
     return out
 
 
+def _leaf_gradients(v: np.ndarray, hs: np.ndarray, inside: np.ndarray, back_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the targets ``inside`` buckets and the gradients of their units; what goes back to the states is added to
+    ``back_out``."""
+    rows = np.flatnonzero(inside >= 0)
+    rows = rows[np.argsort(inside[rows], kind="stable")]
+    bucket, at = np.divmod(inside[rows], v.shape[1])
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    counts = np.diff(first, append=len(rows))
+    table, h = v[bucket], hs[rows]
+    e = np.matmul(table, h[:, :, None])[:, :, 0]
+    _exp(e)
+    e *= 1.0 / e.sum(axis=1, keepdims=True)
+    e[np.arange(len(e)), at] -= 1
+    back_out[rows] += np.matmul(e[:, None, :], table)[:, 0]
+    out = np.einsum("nl,no->nlo", e[first], h[first])
+    # Few rows of a bucket are added up side by side, many as a product.
+    for k in range(1, min(FEW, int(counts.max(initial=0)))):
+        more = np.flatnonzero((counts > k) & (counts <= FEW))
+        out[more] += np.einsum("nl,no->nlo", e[first[more] + k], h[first[more] + k])
+    for m in np.flatnonzero(counts > FEW).tolist():
+        i, j = first[m], first[m] + counts[m]
+        np.matmul(e[i:j].T, h[i:j], out=out[m])
+    return bucket[first], out
+
+
 def gradients(p: Weights, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[dict[str, tuple], np.ndarray]:
     """Gradients of the loss over one window (time, stream), and the state after it; negative targets have no loss.
 
@@ -146,9 +203,10 @@ def gradients(p: Weights, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray
         states[i, :, :HIDDEN] = h
     flat = targets.ravel()
     live = np.flatnonzero(flat >= 0)
-    order, runs = _by_class(flat[live] // side)
-    live = live[order]
-    hs, wanted = states.reshape(-1, OUT)[live], flat[live]
+    wanted, inside = _placed(p, flat[live])
+    order, runs = _by_class(wanted // side)
+    live, wanted, inside = live[order], wanted[order], inside[order]
+    hs = states.reshape(-1, OUT)[live]
     label, inner = wanted // side, wanted % side
     back_out, gc, turned = np.empty((len(live), OUT), "f4"), np.zeros_like(p["c"]), np.ascontiguousarray(p["c"].T)
     for i in range(0, len(live), BLOCK):
@@ -168,6 +226,8 @@ def gradients(p: Weights, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray
         np.matmul(e[i:j].T, hs[i:j], out=gw[m])
         back_out[i:j] += e[i:j] @ p["w"][k]
     g: dict[str, tuple] = {"c": (everywhere, gc), "w": (np.array([k for k, _, _ in runs], np.int64), gw)}
+    if "v" in p:
+        g["v"] = _leaf_gradients(p["v"], hs, inside, back_out)
     dh_out = np.zeros((len(flat), HIDDEN), "f4")
     dh_out[live] = back_out[:, :HIDDEN]
     dh_out = dh_out.reshape(length, width, HIDDEN)
@@ -214,12 +274,18 @@ def train(p: Weights, documents: list[np.ndarray]) -> Weights:
     inputs = np.append(tokens[:-1], np.full(pad, start, np.int32)).reshape(streams, length).T
     targets = np.append(tokens[1:], np.full(pad, start, np.int32)).reshape(streams, length).T
     targets = np.where(targets == start, -1, targets)
-    first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    first, second = ({k: np.zeros_like(v) for k, v in p.items() if k != "v"} for _ in range(2))
+    squares = np.zeros(len(p["v"]) if "v" in p else 0, "f4")
     h, n = np.zeros((streams, HIDDEN), "f4"), 0
     for at in range(0, length, WINDOW):
         g, h = gradients(p, np.ascontiguousarray(inputs[at : at + WINDOW]), targets[at : at + WINDOW], h)
         n += 1
         scale = np.float32(RATE * math.sqrt(1 - 0.999**n) / (1 - 0.9**n))
+        if "v" in p:
+            rows, v = g.pop("v")
+            squares[rows] += np.einsum("nlo,nlo->n", v, v) / math.prod(v.shape[1:])
+            v *= (np.float32(LEAF_RATE) / np.sqrt(squares[rows] + np.float32(1e-12)))[:, None, None]
+            p["v"][rows] -= v
         for k, (rows, v) in g.items():
             v *= np.float32(1 / (streams * WINDOW))
             mean, square = first[k][rows], second[k][rows]

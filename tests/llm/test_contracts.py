@@ -359,6 +359,59 @@ def test_language_model_reads_and_predicts_rare_words(spark):
     assert out[held[0]].base_score == pytest.approx(out[held[1]].base_score) and out[held[0]].score != pytest.approx(out[held[1]].score, abs=1e-9)
 
 
+def leafy(side=4, leaves=6):
+    """Weights after some training, and documents, of a small model whose buckets have several units."""
+    rng = np.random.default_rng(6)
+    p = recurrent.initial(rng.integers(1, 9, side**2) + 0.0, rng.integers(1, 9, (side**2, leaves)) + 0.0)
+    docs = [rng.integers(0, side**2 * (1 + leaves), n) for n in (400, 3, 90, 1, 250)]
+    return recurrent.train(p, docs), docs
+
+
+def test_language_model_learns_units_within_buckets():
+    """Probabilities of all units sum to one, and gradients are those of the loss, for the units of buckets too."""
+    p, docs = leafy()
+    units, side, leaves = np.arange(16 * 7), 4, 6
+    h = np.random.default_rng(7).normal(0, 1, (5, recurrent.HIDDEN)).astype("f4")
+    states = np.append(h, np.ones((5, 1), "f4"), axis=1)
+    every = np.exp([recurrent.log_probs(p, np.tile(x, (len(units), 1)), units) for x in states])
+    assert every.sum(axis=1) == pytest.approx(np.ones(5), abs=1e-4) and np.abs(every[0] - every[1]).max() > 1e-4
+    rng = np.random.default_rng(9)
+    inputs, targets = rng.integers(0, len(units), (6, 5)).astype(np.int32), rng.integers(0, len(units), (6, 5))
+    targets[:, 2] = 16 + 3 * leaves + np.array([0, 1, 1, 1, 5, 5])
+
+    def loss(q):
+        state, total = h, 0.0
+        for x, y in zip(inputs, targets, strict=True):
+            state = recurrent.step(q["u"], q["x"][x], state)[0]
+            total -= recurrent.log_probs(q, np.append(state, np.ones((5, 1), "f4"), axis=1), y).sum()
+        return total
+
+    found, _ = recurrent.gradients(p, inputs, targets, h)
+    for k in p:
+        full = np.zeros_like(p[k])
+        full[found[k][0]] = found[k][1]
+        for at in np.argsort(-np.abs(full).ravel())[:4]:
+            up, down = ({x: v.copy() for x, v in p.items()} for _ in range(2))
+            up[k].ravel()[at] += 0.02
+            down[k].ravel()[at] -= 0.02
+            assert full.ravel()[at] == pytest.approx((loss(up) - loss(down)) / 0.04, rel=0.05), k
+    assert recurrent.unpack(recurrent.pack(p), side, leaves)["v"] == pytest.approx(p["v"])
+
+
+def test_most_words_are_units_of_their_own(spark):
+    """Not the first thousand alone: 20,000 words of equal frequency have a unit each, which no other counted word has."""
+    words = [f"w{i}" for i in range(20_000)]
+    docs = spark.createDataFrame([(0, " ".join(words * 2)), (1, " ".join(f"rare{i}" for i in range(9_000)))], "doc_id long, text string").withColumn("held_out", F.lit(False))
+    top = lm_scoring.count_words(docs).orderBy(F.desc("n"), "word").toPandas()
+    head, head_n, side = top["word"].to_numpy(), top["n"].to_numpy(), recurrent.side_of(len(top))
+    masses = lm_scoring.bucket_masses(lm_scoring.count_words(docs), head, head_n, side**2, side)
+    units = np.frombuffer(lm_scoring.as_units(docs, head, head_n, masses).orderBy("doc_id").first().units, lm_scoring.unit_type(side**2 + masses.size))
+    assert len(np.unique(units[:20_000])) == 20_000 and (units[:20_000] == units[20_000:40_000]).all()
+    # Every counted word is in one mass: its count and one; each shared unit has one for words not counted.
+    shared = side**2 * (side - lm_scoring.own_leaves(side))
+    assert masses.sum() + (head_n[: side**2] + 1).sum() == head_n.sum() + len(head) + shared
+
+
 def test_language_model_sums_to_one():
     rng = np.random.default_rng(1)
     p = recurrent.train(recurrent.initial(rng.integers(1, 9, 700) + 0.0, np.ones(recurrent.SIDE**2)), [rng.integers(0, 700, 500)])
