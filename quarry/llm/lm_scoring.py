@@ -28,6 +28,8 @@ SHARD_DOCS = 1_500
 UNITS = 4_096
 #: But not over so many times SHARD_DOCS, as a task holds its shard's units in memory.
 MOST = 8
+#: Documents that are scored side by side, as far as a batch has them: the more, the less the longest one runs alone.
+SCORED = 8_192
 #: A document's end, counted as a token: a number in the place of a word's hash.
 END = np.int64(-7_046_029_254_386_353_131)
 #: Tokens that a task counts before it gives their counts on.
@@ -199,7 +201,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = recurrent.unpack(shared.value, side, recurrent.LEAVES)
-        for batch in slices(batches, 1024):
+        for batch in slices(batches, SCORED):
             found = recurrent.score(p, [np.frombuffer(x, kind) for x in batch.column(batch.num_columns - 1).to_pylist()]) / np.log(10)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], names=[*batch.schema.names[:-1], "class_sum"])
 

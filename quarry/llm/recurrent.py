@@ -4,8 +4,9 @@ The model reads and predicts units, every word being of one. The softmax is fact
 ``side`` words each, those ranked first by count, and ``side`` classes of ``side`` buckets each, which have ``leaves``
 units each: most of them words of their own, the next by count, the others shared by a hash, where shares within a
 unit are counted, not learned. So the number of units is about ``1 + LEAVES`` times the square root of the vocabulary,
-which keeps the weights, that every task holds, to a share of it. With one leaf a bucket is one unit. The cell has one gate, which decides how much of the old state goes
-into the candidate and how much of the candidate into the new state.
+which keeps the weights, that every task holds, to a share of it. With one leaf a bucket is one unit. The cell has one
+gate, which decides how much of the old state goes into the candidate and how much of the candidate into the new state.
+Targets are sorted, so that those of a class or a bucket are rows next to one another, and its weights are read once.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ STREAMS = 512
 RATE = 1.4e-2
 #: Rows whose softmax is taken at a time, so that it stays in the cache.
 BLOCK = 2048
-#: Rows whose buckets' units are gathered at a time in scoring, and rows of one bucket that are few.
-PART, FEW = 256, 4
+#: Rows whose softmax is taken by one walk through all classes and buckets in scoring; the more, the more of them share a product.
+ROWS = 1 << 17
 #: The rate of the buckets' units, whose steps are scaled by the squares of all their gradients so far, a mean for each bucket.
 LEAF_RATE = 0.03
 
@@ -45,11 +46,11 @@ def shapes(side: int, leaves: int = 1) -> dict[str, tuple[int, ...]]:
     w: words and buckets; v: units of buckets of several."""
     classes = 2 * side
     found = {"x": (side * side * (1 + leaves) + 1, 2 * HIDDEN), "u": (HIDDEN, 2 * HIDDEN), "c": (classes, OUT), "w": (classes, side, OUT)}
-    return found | ({"v": (side * side, leaves, OUT)} if leaves > 1 else {})
+    return found | ({"v": (side * side, OUT, leaves)} if leaves > 1 else {})
 
 
 def leaves_of(p: Weights) -> int:
-    return p["v"].shape[1] if "v" in p else 1
+    return p["v"].shape[2] if "v" in p else 1
 
 
 def initial(words: np.ndarray, buckets: np.ndarray) -> Weights:
@@ -68,7 +69,7 @@ def initial(words: np.ndarray, buckets: np.ndarray) -> Weights:
     share = lambda m: np.where(m > 0, np.log(np.maximum(m, 1)) - np.log(np.maximum(m.max(axis=1, keepdims=True), 1)), -20.0)
     p["w"][:, :, HIDDEN] = share(mass)
     if "v" in p:
-        p["v"][:, :, HIDDEN] = share(within)
+        p["v"][:, HIDDEN] = share(within)
     return p
 
 
@@ -113,12 +114,27 @@ def _exp(a: np.ndarray) -> np.ndarray | float:
     return top
 
 
-def _by_class(label: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """The order that sorts by class, and (class, first row, row after the last) of each."""
-    order = np.argsort(label.astype(np.uint16) if label.size and label.max() < 65_536 else label, kind="stable")
-    ends = np.bincount(label).cumsum().tolist()
-    runs = [(k, (ends[k - 1] if k else 0), e) for k, e in enumerate(ends) if e > (ends[k - 1] if k else 0)]
-    return order, runs
+def _sorting(units: np.ndarray) -> np.ndarray:
+    """The order that sorts units; equal ones stay as they are."""
+    return np.argsort(units.astype(np.uint16) if units.size and units.max() < 65_536 else units, kind="stable")
+
+
+def _first(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def _runs(label: np.ndarray) -> list[tuple[int, int, int]]:
+    """(label, first row, row after the last) of sorted labels."""
+    first = _first(label)
+    return list(zip(label[first].tolist(), first.tolist(), (first + np.diff(first, append=len(label))).tolist(), strict=True))
+
+
+def _by_run(a: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each run, ``first`` being where they start."""
+    return np.add.reduceat(a, first, axis=0) if len(first) else a
 
 
 def _within(p: Weights, h: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
@@ -128,10 +144,15 @@ def _within(p: Weights, h: np.ndarray, runs: list[tuple[int, int, int]]) -> np.n
     return a
 
 
+def _sums(a: np.ndarray) -> np.ndarray:
+    """Of each row; a product takes less time than a sum over short rows."""
+    return a @ np.ones(a.shape[1], "f4")
+
+
 def _log_share(a: np.ndarray, at: np.ndarray) -> np.ndarray:
     chosen = a[np.arange(len(a)), at]
     top = _exp(a)
-    return (chosen - np.ravel(top)).astype("f8") - np.log(a.sum(axis=1))
+    return (chosen - np.ravel(top)).astype("f8") - np.log(_sums(a))
 
 
 def _placed(p: Weights, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,56 +166,67 @@ def log_probs(p: Weights, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural logarithms of the units' probabilities; ``h`` has the constant as its last column."""
     side, leaves = p["w"].shape[1], leaves_of(p)
     out = np.empty(len(h))
-    placed, inside = _placed(p, targets)
-    label = placed // side
-    order, runs = _by_class(label)
-    hs, label, inner = h[order], label[order], placed[order] % side
-    found = _log_share(_within(p, hs, runs), inner)
-    turned = np.ascontiguousarray(p["c"].T)
-    for i in range(0, len(hs), BLOCK):
-        found[i : i + BLOCK] += _log_share(hs[i : i + BLOCK] @ turned, label[i : i + BLOCK])
-    out[order] = found
+    order = _sorting(targets)
+    hs = h.take(order, axis=0)
+    placed, inside = _placed(p, targets[order])
+    label, inner = np.divmod(placed, side)
+    turned, found = np.ascontiguousarray(p["c"].T), np.empty(len(hs))
+    for k, i, j in _runs(label):
+        for at in range(i, j, BLOCK):
+            part = slice(at, min(at + BLOCK, j))
+            found[part] = _log_share(hs[part] @ p["w"][k].T, inner[part])
+    for at in range(0, len(hs), BLOCK):
+        part = slice(at, at + BLOCK)
+        found[part] += _log_share(hs[part] @ turned, label[part])
     if leaves > 1:
-        rows = np.flatnonzero(inside >= 0)
-        rows = rows[np.argsort(inside[rows], kind="stable")]
-        for i in range(0, len(rows), PART):
-            part = rows[i : i + PART]
-            out[part] += _log_share(np.matmul(p["v"][inside[part] // leaves], h[part, :, None])[:, :, 0], inside[part] % leaves)
+        start = int(np.searchsorted(inside, 0))  # the buckets' units are the last ones
+        bucket, leaf = np.divmod(inside[start:], leaves)
+        # A product for each bucket of a block, then one softmax of them all.
+        for at in range(0, len(bucket), BLOCK):
+            within, h = slice(at, at + BLOCK), hs[start + at :]
+            a = np.empty((len(bucket[within]), leaves), "f4")
+            for b, i, j in _runs(bucket[within]):
+                np.matmul(h[i:j], p["v"][b], out=a[i:j])
+            found[start + at : start + at + BLOCK] += _log_share(a, leaf[within])
+    out[order] = found
     return out
 
 
-def _leaf_gradients(v: np.ndarray, hs: np.ndarray, inside: np.ndarray, back_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the targets ``inside`` buckets and the gradients of their units; what goes back to the states is added to
-    ``back_out``."""
-    rows = np.flatnonzero(inside >= 0)
-    rows = rows[np.argsort(inside[rows], kind="stable")]
-    bucket, at = np.divmod(inside[rows], v.shape[1])
-    first = np.flatnonzero(np.diff(bucket, prepend=-1))
-    counts = np.diff(first, append=len(rows))
-    table, h = v[bucket], hs[rows]
-    e = np.matmul(table, h[:, :, None])[:, :, 0]
-    _exp(e)
-    e *= 1.0 / e.sum(axis=1, keepdims=True)
-    e[np.arange(len(e)), at] -= 1
-    back_out[rows] += np.matmul(e[:, None, :], table)[:, 0]
-    out = np.einsum("nl,no->nlo", e[first], h[first])
-    # Few rows of a bucket are added up side by side, many as a product.
-    for k in range(1, min(FEW, int(counts.max(initial=0)))):
-        more = np.flatnonzero((counts > k) & (counts <= FEW))
-        out[more] += np.einsum("nl,no->nlo", e[first[more] + k], h[first[more] + k])
-    for m in np.flatnonzero(counts > FEW).tolist():
-        i, j = first[m], first[m] + counts[m]
-        np.matmul(e[i:j].T, h[i:j], out=out[m])
-    return bucket[first], out
+def _leaf_gradients(v: np.ndarray, hs: np.ndarray, inside: np.ndarray, back_out: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the targets ``inside`` buckets, which are sorted, the gradients of their units, and the weights they had;
+    what goes back to the states is added to ``back_out``. Buckets with equally many targets are taken together."""
+    bucket, at = np.divmod(inside, v.shape[2])
+    first = _first(bucket)
+    counts = np.diff(first, append=len(bucket))
+    order = _sorting(counts)
+    first = first[order]
+    rows = bucket[first]
+    out, table = np.empty((len(rows), *v.shape[1:]), "f4"), v.take(rows, axis=0)
+    for n, i, j in _runs(counts[order]):
+        members = (first[i:j, None] + np.arange(n)).ravel()
+        h = hs.take(members, axis=0).reshape(j - i, n, OUT)
+        e = np.matmul(h, table[i:j]).reshape(len(members), -1)
+        _exp(e)
+        e *= (1.0 / _sums(e))[:, None]
+        e[np.arange(len(e)), at[members]] -= 1
+        e = e.reshape(j - i, n, -1)
+        back_out[members] += np.matmul(e, table[i:j].transpose(0, 2, 1)).reshape(len(members), OUT)
+        if n == 1:
+            np.einsum("no,nl->nol", h[:, 0], e[:, 0], out=out[i:j])
+        else:
+            np.matmul(h.transpose(0, 2, 1), e, out=out[i:j])
+    return rows, out, table
 
 
 def gradients(p: Weights, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[dict[str, tuple], np.ndarray]:
     """Gradients of the loss over one window (time, stream), and the state after it; negative targets have no loss.
 
-    A gradient is (rows, values): only the inputs and classes of the window have one.
+    A gradient is (rows, values): only the inputs and classes of the window have one. That of ``v`` has its rows' weights
+    as well. A softmax is not divided by its sums; what is computed of it is, which is narrower, and the targets' part
+    of a gradient is a sum over runs of equal targets.
     """
     side, everywhere, (length, width) = p["w"].shape[1], slice(None), inputs.shape
-    gx = p["x"][inputs]
+    gx = p["x"].take(inputs, axis=0)
     before, f, n, hn = (np.empty((length, width, HIDDEN), "f4") for _ in range(4))
     states = np.ones((length, width, OUT), "f4")
     for i in range(length):
@@ -203,36 +235,59 @@ def gradients(p: Weights, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray
         states[i, :, :HIDDEN] = h
     flat = targets.ravel()
     live = np.flatnonzero(flat >= 0)
-    wanted, inside = _placed(p, flat[live])
-    order, runs = _by_class(wanted // side)
-    live, wanted, inside = live[order], wanted[order], inside[order]
-    hs = states.reshape(-1, OUT)[live]
-    label, inner = wanted // side, wanted % side
+    wanted = flat[live]
+    order = _sorting(wanted)
+    live, wanted = live[order], wanted[order]
+    placed, inside = _placed(p, wanted)
+    label = placed // side
+    runs = _runs(label)
+    hs = states.reshape(-1, OUT).take(live, axis=0)
+    # Of each word or bucket among the targets, and of each class: the sum of its states.
+    first = _first(placed)
+    words = placed[first]
+    by_word = _by_run(hs, first)
+    word_label = words // side
+    starts = _first(word_label)
+    classes = word_label[starts]
+    by_class = _by_run(by_word, starts)
     back_out, gc, turned = np.empty((len(live), OUT), "f4"), np.zeros_like(p["c"]), np.ascontiguousarray(p["c"].T)
     for i in range(0, len(live), BLOCK):
         part = hs[i : i + BLOCK]
         d = part @ turned
         _exp(d)
-        d *= 1.0 / d.sum(axis=1, keepdims=True)
-        d[np.arange(len(d)), label[i : i + BLOCK]] -= 1
-        gc += d.T @ part
-        np.matmul(d, p["c"], out=back_out[i : i + BLOCK])
+        share = (1.0 / _sums(d))[:, None]
+        gc += d.T @ (part * share)
+        np.multiply(d @ p["c"], share, out=back_out[i : i + BLOCK])
+    gc[classes] -= by_class
+    back_out -= p["c"].take(label, axis=0)
     e = _within(p, hs, runs)
     _exp(e)
-    e *= 1.0 / e.sum(axis=1, keepdims=True)
-    e[np.arange(len(e)), inner] -= 1
+    share = (1.0 / _sums(e))[:, None]
+    part, back = hs * share, np.empty_like(hs)
     gw = np.empty((len(runs), side, OUT), "f4")
     for m, (k, i, j) in enumerate(runs):
-        np.matmul(e[i:j].T, hs[i:j], out=gw[m])
-        back_out[i:j] += e[i:j] @ p["w"][k]
-    g: dict[str, tuple] = {"c": (everywhere, gc), "w": (np.array([k for k, _, _ in runs], np.int64), gw)}
+        np.matmul(e[i:j].T, part[i:j], out=gw[m])
+        np.matmul(e[i:j], p["w"][k], out=back[i:j])
+    flat_w = gw.reshape(-1, OUT)
+    flat_w[np.repeat(np.arange(len(starts)), np.diff(starts, append=len(words))) * side + words % side] -= by_word
+    back *= share
+    back_out += back
+    back_out -= p["w"].reshape(-1, OUT).take(placed, axis=0)
+    g: dict[str, tuple] = {"c": (everywhere, gc), "w": (classes, gw)}
     if "v" in p:
-        g["v"] = _leaf_gradients(p["v"], hs, inside, back_out)
+        start = int(np.searchsorted(inside, 0))  # the buckets' units are the last ones
+        g["v"] = _leaf_gradients(p["v"], hs[start:], inside[start:], back_out[start:])
     dh_out = np.zeros((len(flat), HIDDEN), "f4")
     dh_out[live] = back_out[:, :HIDDEN]
     dh_out = dh_out.reshape(length, width, HIDDEN)
-    open_, curve = (n - before) * f * (1 - f), f * (1 - n * n)
-    twist, keep = hn * f * (1 - f), 1 - f
+    keep = 1 - f
+    curve = 1 - n * n
+    curve *= f
+    open_ = n - before
+    open_ *= f
+    open_ *= keep
+    twist = hn * f
+    twist *= keep
     gates, back, dh, turned = np.empty_like(gx), np.empty_like(gx), np.zeros_like(h), np.ascontiguousarray(p["u"].T)
     for i in range(length - 1, -1, -1):
         dh += dh_out[i]
@@ -247,12 +302,10 @@ def gradients(p: Weights, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray
         dh += back[i] @ turned
     g["u"] = (everywhere, before.reshape(-1, HIDDEN).T @ back.reshape(-1, 2 * HIDDEN))
     units = inputs.ravel()
-    order = np.argsort(units, kind="stable")
-    placed = units[order]
-    last = np.flatnonzero(np.append(placed[1:] != placed[:-1], True))
-    sums = np.cumsum(gates.reshape(-1, 2 * HIDDEN)[order], axis=0, dtype="f8")[last]
-    sums[1:] -= sums[:-1].copy()
-    g["x"] = (placed[last], sums.astype("f4"))
+    order = _sorting(units)
+    units = units[order]
+    first = _first(units)
+    g["x"] = (units[first], _by_run(gates.reshape(-1, 2 * HIDDEN).take(order, axis=0), first))
     return g, h
 
 
@@ -282,24 +335,34 @@ def train(p: Weights, documents: list[np.ndarray]) -> Weights:
         n += 1
         scale = np.float32(RATE * math.sqrt(1 - 0.999**n) / (1 - 0.9**n))
         if "v" in p:
-            rows, v = g.pop("v")
-            squares[rows] += np.einsum("nlo,nlo->n", v, v) / math.prod(v.shape[1:])
-            v *= (np.float32(LEAF_RATE) / np.sqrt(squares[rows] + np.float32(1e-12)))[:, None, None]
-            p["v"][rows] -= v
+            rows, v, old = g.pop("v")
+            each = v.reshape(len(v), math.prod(v.shape[1:]))
+            squares[rows] += np.einsum("nf,nf->n", each, each) / each.shape[1]
+            each *= (np.float32(LEAF_RATE) / np.sqrt(squares[rows] + np.float32(1e-12)))[:, None]
+            old -= v
+            p["v"][rows] = old
         for k, (rows, v) in g.items():
             v *= np.float32(1 / (streams * WINDOW))
+            if not isinstance(rows, slice) and len(rows) == len(p[k]):
+                rows = slice(None)
             mean, square = first[k][rows], second[k][rows]
-            mean += np.float32(0.1) * (v - mean)
+            moved = v - mean
+            moved *= np.float32(0.1)
+            mean += moved
             v *= v
-            square += np.float32(0.001) * (v - square)
+            v -= square
+            v *= np.float32(0.001)
+            square += v
             first[k][rows], second[k][rows] = mean, square
             np.sqrt(square, out=v)
             v += np.float32(1e-8)
-            p[k][rows] -= scale * mean / v
+            np.divide(mean, v, out=v)
+            v *= scale
+            p[k][rows] -= v
     return p
 
 
-def score(p: Weights, documents: list[np.ndarray], streams: int = 256, window: int = 32) -> np.ndarray:
+def score(p: Weights, documents: list[np.ndarray], streams: int = 512) -> np.ndarray:
     """Natural log-likelihood of each document, its state carried from its first to its last word.
 
     Documents follow one another in streams, the longest first and each into the stream that is shortest so far; the
@@ -320,33 +383,30 @@ def score(p: Weights, documents: list[np.ndarray], streams: int = 256, window: i
         ends[s] = at
     rank = np.empty(len(heap), np.int64)
     rank[np.argsort(-ends, kind="stable")] = np.arange(len(heap))
-    stream, ends = rank[stream], np.sort(ends)[::-1]
-    # The streams one after another in one array; a stream's place t is base + t.
-    base = np.concatenate([[0], np.cumsum(ends)[:-1]])
-    words, before, owner = np.empty(int(ends.sum()), np.int32), np.empty(int(ends.sum()), np.int32), np.empty(int(ends.sum()), np.int64)
+    stream, ends = rank[stream], np.sort(ends)
+    # One time after another in one array, of each the streams that are still running, the first ones.
+    base = np.append(0, np.cumsum(len(ends) - np.searchsorted(ends, np.arange(ends[-1]), side="right")))
+    words, before, owner = np.empty(base[-1], np.int32), np.empty(base[-1], np.int32), np.empty(base[-1], np.int32)
     for i, d in enumerate(documents):
         if len(d):
-            at = int(base[stream[i]] + begins[i])
-            words[at : at + len(d)] = d
-            before[at] = start
-            before[at + 1 : at + len(d)] = d[:-1]
-            owner[at : at + len(d)] = i
-    h = np.zeros((len(heap), HIDDEN), "f4")
-    for at in range(0, int(ends[0]), window):
-        states, places = [], []
-        for t in range(at, min(at + window, int(ends[0]))):
-            n = int(np.searchsorted(-ends, -t, side="left"))  # streams that are still running: the first ones
-            place = base[:n] + t
-            read = before[place]
-            h = h[:n]
-            fresh = read == start
-            if fresh.any():
-                h = np.where(fresh[:, None], np.float32(0), h)
-            h = step(p["u"], p["x"][read], h)[0]
-            states.append(h)
-            places.append(place)
-        where = np.concatenate(places)
-        whole = np.ones((len(where), OUT), "f4")
-        np.concatenate(states, out=whole[:, :HIDDEN])
-        out += np.bincount(owner[where], log_probs(p, whole, words[where]), len(documents))
+            places = base[begins[i] : begins[i] + len(d)] + stream[i]
+            words[places] = d
+            before[places[0]] = start
+            before[places[1:]] = d[:-1]
+            owner[places] = i
+    fresh = np.flatnonzero(before == start)
+    h, at = np.zeros((len(heap), HIDDEN), "f4"), 0
+    while at < len(base) - 1:
+        stop = max(at + 1, int(np.searchsorted(base, base[at] + ROWS, side="right")) - 1)
+        edges, news = base[at : stop + 1].tolist(), np.searchsorted(fresh, base[at : stop + 1]).tolist()
+        whole = np.ones((edges[-1] - edges[0], OUT), "f4")
+        for t, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            h = h[: j - i]
+            if news[t] < news[t + 1]:
+                h[fresh[news[t] : news[t + 1]] - i] = 0
+            h = step(p["u"], p["x"].take(before[i:j], axis=0), h)[0]
+            whole[i - edges[0] : j - edges[0], :HIDDEN] = h
+        part = slice(edges[0], edges[-1])
+        out += np.bincount(owner[part], log_probs(p, whole, words[part]), len(documents))
+        at = stop
     return out
